@@ -1,0 +1,35 @@
+"""Queries of the llm problems and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quotelens.llm import lookalikes, term_counts
+from quotelens.plans.runtime import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Words of quotes.original and processed_verses.text_simple that are too rare or too common."""
+    return term_counts.marked_terms(_term_fields(spark, d), min_count=2, max_share=0.05)
+
+
+def p1_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct word of each field with occurrences, records and mark."""
+    return term_counts.term_table(_term_fields(spark, d), min_count=2, max_share=0.05)
+
+
+def _term_fields(spark: SparkSession, d: str) -> dict:
+    return {
+        "original": (table(spark, d, "quotes"), "quote_id", "original"),
+        "text_simple": (table(spark, d, "processed_verses"), "proc_id", "text_simple"),
+    }
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Verses and records that look the same but are stored differently."""
+    return lookalikes.lookalike_pairs(table(spark, d, "quran_verses"), table(spark, d, "quotes"), table(spark, d, "processed_verses"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found)}
+
+SQL: dict[str, str] = {}
