@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quotelens.llm import lookalikes, term_counts
+from quotelens.llm import lookalikes, near_duplicates, term_counts
+from quotelens.llm.records import distinct_texts, plain_form
 from quotelens.plans.runtime import table
 
 
@@ -25,11 +27,31 @@ def _term_fields(spark: SparkSession, d: str) -> dict:
     }
 
 
+def _verses_and_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_id, text) of quran_verses.text and quotes.original, each record once."""
+    verses, quotes = table(spark, d, "quran_verses"), table(spark, d, "quotes")
+    return distinct_texts(verses, "id", "text").unionByName(distinct_texts(quotes, "quote_id", "original"))
+
+
+def _plain_records(spark: SparkSession, d: str) -> DataFrame:
+    return _verses_and_quotes(spark, d).select("rec_id", plain_form(F.col("text")).alias("plain"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of verses and quotes with word sets of similarity 0.7 or more."""
+    return near_duplicates.near_duplicate_pairs(_plain_records(spark, d))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Verses and quotes with their group of near duplicates and number of links."""
+    return near_duplicates.near_duplicate_groups(_plain_records(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Verses and records that look the same but are stored differently."""
     return lookalikes.lookalike_pairs(table(spark, d, "quran_verses"), table(spark, d, "quotes"), table(spark, d, "processed_verses"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found)}
 
 SQL: dict[str, str] = {}
