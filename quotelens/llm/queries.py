@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import lookalikes, near_duplicates, term_counts
+from quotelens.llm import language, lookalikes, near_duplicates, term_counts
 from quotelens.llm.records import distinct_texts, plain_form
 from quotelens.plans.runtime import table
 
@@ -52,6 +52,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, d, "quran_verses"), table(spark, d, "quotes"), table(spark, d, "processed_verses"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of the documents whose label is missing, wrong or not the only one."""
+    prof = language.build_profiles(table(spark, d, "lang_samples"), "sample_lang", "sample_text")
+    return language.mislabelled(table(spark, d, "documents"), prof)
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's runs of one language with confidence."""
+    prof = language.build_profiles(table(spark, d, "lang_samples"), "sample_lang", "sample_text")
+    return language.language_runs(table(spark, d, "documents").select("doc_id", "text"), prof)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found, p8_found, p8_segments)}
 
 SQL: dict[str, str] = {}
