@@ -60,7 +60,7 @@ SIGN_LOOKALIKES = (("‐‑", "--"), ("ʼ", "’"), ("٬", "،"))
 _SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
-def _is_invisible(ch: str) -> bool:
+def is_invisible(ch: str) -> bool:
     """Format characters, variation selectors, fillers and other controls."""
     cp = ord(ch)
     if cp in (0x06DD, 0x0600, 0x0601, 0x0602, 0x0603, 0x0604, 0x0605, 0x070F, 0x08E2, 0x0890, 0x0891, 0x110BD, 0x110CD):
@@ -104,7 +104,7 @@ def _tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
             if ch != " ":
                 mapped[cp] = " "
             continue
-        if _is_invisible(ch):
+        if is_invisible(ch):
             mapped[cp] = ""
             continue
         parts = unicodedata.decomposition(ch).split(" ")

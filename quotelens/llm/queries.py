@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import language, lookalikes, near_duplicates, term_counts
+from quotelens.llm import language, leakage, lookalikes, near_duplicates, packing, term_counts
 from quotelens.llm.records import distinct_texts, plain_form
 from quotelens.plans.runtime import table
 
@@ -52,6 +52,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, d, "quran_verses"), table(spark, d, "quotes"), table(spark, d, "processed_verses"))
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's parts with their container of 2,048 tokens."""
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers by number of parts: how many, and tokens used and unused."""
+    one = p6_packing(spark, d).groupBy("container_id").agg(F.count("*").alias("n_parts"), F.sum("part_tokens").alias("used"))
+    return one.groupBy("n_parts").agg(F.count("*").alias("n_containers"), F.sum("used").alias("used_tokens"), F.sum(packing.CAPACITY - F.col("used")).alias("unused_tokens"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with passages of held-out items."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of the documents whose label is missing, wrong or not the only one."""
     prof = language.build_profiles(table(spark, d, "lang_samples"), "sample_lang", "sample_text")
@@ -64,6 +80,6 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.language_runs(table(spark, d, "documents").select("doc_id", "text"), prof)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found, p6_packing, p6_fill, p7_found, p8_found, p8_segments)}
 
 SQL: dict[str, str] = {}
