@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import language, leakage, lookalikes, near_duplicates, packing, term_counts
+from quotelens.llm import language, leakage, lookalikes, near_duplicates, packing, shared_spans, term_counts
 from quotelens.llm.records import distinct_texts, plain_form
 from quotelens.plans.runtime import table
 
@@ -52,6 +52,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, d, "quran_verses"), table(spark, d, "quotes"), table(spark, d, "processed_verses"))
 
 
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every verse and quote with its characters in stretches shared with another record."""
+    return shared_spans.shared_shares(_verses_and_quotes(spark, d))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Verses and quotes at least half of which is shared."""
+    return p5_shares(spark, d).where((F.col("shared_chars") > 0) & (2 * F.col("shared_chars") >= F.col("n_chars"))).select("rec_id").distinct()
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every document's parts with their container of 2,048 tokens."""
     return packing.pack_documents(table(spark, d, "documents"))
@@ -80,6 +90,6 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.language_runs(table(spark, d, "documents").select("doc_id", "text"), prof)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found, p6_packing, p6_fill, p7_found, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found, p5_found, p5_shares, p6_packing, p6_fill, p7_found, p8_found, p8_segments)}
 
 SQL: dict[str, str] = {}
