@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quotelens.plans import orphan_queries
+from quotelens.plans import match_queries, orphan_queries
 
-_MODULES = (orphan_queries,)
+_MODULES = (match_queries, orphan_queries)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "p4_found"
+FLAGSHIP = "validate_cascade"
