@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelens.functions.text import normalize_arabic, similarity
-from quotelens.operators.skew import salted_join
+from quotelens.operators.skew import costly_join, once, salted_join
 
 
 def first_by_place(corpus: DataFrame) -> DataFrame:
@@ -57,7 +57,8 @@ def search(queries: DataFrame, corpus: DataFrame, limit: int = 10, floor: float
     texts = asked.select("q").distinct().withColumn("q_len", F.length("q"))
     low, high = F.floor(F.col("q_len") * floor).cast("int"), F.ceil((F.col("q_len") + 1) / floor).cast("int")
     ranged = texts.withColumn("norm_len", F.explode(F.sequence(low, high)))
-    met = ranged.join(corpus.select("id", "surah", "ayah", "ord", "norm", "norm_len"), "norm_len").withColumn("similarity", similarity(F.col("q"), F.col("norm")))
+    verses = corpus.select("id", "surah", "ayah", "ord", "norm", "norm_len")
+    met = costly_join(ranged, verses, "norm_len", ["q"]).withColumn("similarity", once(similarity(F.col("q"), F.col("norm")))).drop("norm")
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), "ord")
     top = met.where(F.col("similarity") > floor).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return salted_join(asked, top.select("q", "id", "surah", "ayah", "similarity", "rank"), ["q"]).select("qid", "id", "surah", "ayah", "similarity", "rank")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelens.functions.text import DIFF_TYPE, contains_arabic, find_differences, normalize_arabic, reference_text, similarity, strip
-from quotelens.operators.skew import salted_join
+from quotelens.operators.skew import costly_join, once, salted_join, tasks_for
 from quotelens.options import ValidatorOptions
 from quotelens.plans.runtime import materialize
 
@@ -102,15 +103,18 @@ def _bag(text: str) -> list[tuple[str, int]]:
 
 
 def _gram_key(g: tuple[str, int]) -> int:
-    """A 63-bit number of an n-gram and its number, the same in every process."""
-    h = 1469598103934665603 ^ g[1]
-    for ch in g[0]:
-        h = ((h ^ ord(ch)) * 1099511628211) & 0x7FFFFFFFFFFFFFFF
-    return h
+    """A number of an n-gram and its number, the same in every process; two that fall
+    together only add candidates."""
+    return crc32(g[0].encode(), g[1])
+
+
+#: n-grams that two texts must share among their rarest ones, where they have as many.
+MEETINGS = 4
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts, threshold: float, left: bool) -> Iterator[pa.RecordBatch]:
-    """(s, key): the necessary rarest n-grams of each text.
+    """(id, n, meet, key): the necessary rarest n-grams of each text, its length, and how
+    many of them a partner shares at least.
 
     A text so short that edits may leave no common n-gram meets its partners by length
     instead: keys below zero, of one kind for each case of which side is short.
@@ -119,24 +123,27 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, threshold: float, left:
     mask = len(scaled) - 1
     by_length = lambda m, kind: -(1 + 3 * m + kind)
     for batch in batches:
-        texts, keys = [], []
-        for s in batch.column("s").to_pylist():
+        ids, sizes, meets, keys = [], [], [], []
+        for i, s in zip(batch.column("id").to_pylist(), batch.column("s").to_pylist()):
             n, longest = len(s), int(len(s) / threshold + 1e-9)
             # n-grams that both texts have at least: each edit spoils GRAM of the longer one's.
             shared = min(m - GRAM + 1 - GRAM * int((1 - threshold) * m + 1e-9) for m in range(n, longest + 1))
+            meet = max(1, min(MEETINGS, shared))
             if shared < 1:
                 lengths = range(int(np.ceil(threshold * n - 1e-9)), longest + 1)
                 own = [by_length(m, 1 if left else 0) for m in lengths] + ([by_length(n, 2)] if left else [by_length(m, 2) for m in lengths])
             else:
                 grams = sorted(map(_gram_key, _bag(s)), key=lambda k: (scaled[k & mask], k))
-                own = grams[: len(grams) - shared + 1] + [by_length(n, 0 if left else 1)]
-            texts += [s] * len(own)
+                own = grams[: len(grams) - shared + meet] + [by_length(n, 0 if left else 1)]
+            ids += [i] * len(own)
+            sizes += [n] * len(own)
+            meets += [meet] * len(own)
             keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(keys, pa.int64())], names=["s", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(meets, pa.int32()), pa.array(keys, pa.int64())], names=["id", "n", "meet", "key"])
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """n-gram buckets counted within each batch."""
+    """n-gram buckets, counted batch by batch."""
     for batch in batches:
         n = Counter(_gram_key(g) & ((1 << bits) - 1) for s in batch.column("s").to_pylist() for g in _bag(s))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["b", "n"])
@@ -151,24 +158,33 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     then compared by length and by edit distance with a bound.
     """
     sc = left.sparkSession.sparkContext
-    words = left.select(F.col("q").alias("s")).unionAll(right.select(F.col("norm").alias("s")))
+    tasks = tasks_for(left.sparkSession)
+    words = left.select(F.col("q").alias("s")).unionAll(right.select(F.col("norm").alias("s"))).repartition(tasks)
     counted = words.mapInArrow(partial(_count_grams, bits=GRAM_BITS), "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << GRAM_BITS, np.int64)
     table[counted["b"].to_numpy()] = counted["n"].to_numpy()
     counts = sc.broadcast(table)
-    keyed = lambda df, c: df.select(F.col(c).alias("s")).mapInArrow(partial(_prefixes, counts=counts, threshold=threshold, left=c == "q"), "s string, key long").withColumnRenamed("s", c)
-    met = keyed(left, "q").join(keyed(right, "norm"), "key")
-    a, b = F.length("q"), F.length("norm")
-    close = met.where(F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9).select("q", "norm").distinct()
-    return with_similarity(close, threshold)
+    named = lambda df, c: df.select(F.xxhash64(c).alias("id"), F.col(c).alias("s")).repartition(tasks, "id")
+
+    def keyed(df: DataFrame, c: str, side: str) -> DataFrame:
+        rows = named(df, c).mapInArrow(partial(_prefixes, counts=counts, threshold=threshold, left=c == "q"), "id long, n int, meet int, key long")
+        return rows.select("key", *[F.col(x).alias(f"{side}_{x}") for x in ("id", "n", "meet")])
+
+    met = keyed(left, "q", "a").join(keyed(right, "norm", "b"), "key").where(F.least("a_n", "b_n") >= F.lit(threshold) * F.greatest("a_n", "b_n") - 1e-9)
+    # Equal ids of different texts only add candidates; every one is compared below.
+    close = met.groupBy("a_id", "b_id").agg(F.count("*").alias("hits"), F.min(F.when(F.col("key") < 0, 1).otherwise(F.least("a_meet", "b_meet"))).alias("least"))
+    pairs = close.where(F.col("hits") >= F.col("least")).select("a_id", "b_id")
+    asked = pairs.join(left.select(F.xxhash64("q").alias("a_id"), "q"), "a_id").select("b_id", "q")
+    return with_similarity(costly_join(asked, right.select(F.xxhash64("norm").alias("b_id"), "norm"), "b_id", ["q"]).select("q", "norm"), threshold)
 
 
 def with_similarity(pairs: DataFrame, threshold: float) -> DataFrame:
     """``pairs`` (q, norm, ..) with ``sim`` of at least ``threshold``; the edit distance is
     computed with its bound, then the exact measure decides."""
-    longest = F.greatest(F.length("q"), F.length("norm"))
-    near = F.expr(f"levenshtein(q, norm, cast(ceil((1.0D - {threshold!r}D) * greatest(length(q), length(norm)) + 1e-9D) as int))")
-    return pairs.withColumn("d", near).where(F.col("d") >= 0).withColumn("sim", F.when(F.col("q") == F.col("norm"), F.lit(1.0)).otherwise(F.lit(1.0) - F.col("d") / longest)).where(F.col("sim") >= F.lit(threshold)).drop("d")
+    distance = F.expr(f"levenshtein(q, norm, cast(ceil((1.0D - {threshold!r}D) * greatest(length(q), length(norm)) + 1e-9D) as int))")
+    near = pairs.withColumn("d", once(distance)).where(F.col("d") >= 0)
+    sim = F.when(F.col("q") == F.col("norm"), F.lit(1.0)).otherwise(F.lit(1.0) - F.col("d") / F.greatest(F.length("q"), F.length("norm")))
+    return near.withColumn("sim", sim).where(F.col("sim") >= F.lit(threshold)).drop("d")
 
 
 def fuzzy_matches(texts: DataFrame, corpus: DataFrame, opts: ValidatorOptions) -> DataFrame:
@@ -184,7 +200,7 @@ def fuzzy_matches(texts: DataFrame, corpus: DataFrame, opts: ValidatorOptions) -
     floor = opts.fuzzy_threshold * 0.9
     low, high = F.floor(F.length("q") * floor).cast("int"), F.ceil((F.length("q") + 1) / floor).cast("int")
     ranged = hit.withColumn("norm_len", F.explode(F.sequence(low, high)))
-    met = with_similarity(ranged.join(known.withColumn("norm_len", F.length("norm")), "norm_len"), floor).select("q", "norm", "sim")
+    met = with_similarity(costly_join(ranged, known.withColumn("norm_len", F.length("norm")), "norm_len", ["q"]), floor).select("q", "norm", "sim")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "ord"))
     keep = max(opts.max_suggestions, 1)
     top = met.join(corpus.select(*VERSE, "ord", "norm"), "norm").withColumn("rn", rank).where(F.col("rn") <= keep)

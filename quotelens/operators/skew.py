@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Key hashes are counted in this many buckets; what the driver sees is bounded by it.
@@ -43,5 +43,26 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return left.join(right, [*keys, SALT], how).drop(SALT)
 
 
+def once(value: Column) -> Column:
+    """An expensive value that is computed once a row although several steps use it;
+    filters on a plain column would compute it again."""
+    return F.explode(F.array(value))
+
+
+def tasks_for(spark: SparkSession) -> int:
+    """Partitions for steps that are costly for their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def costly_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], copies: int = 4) -> DataFrame:
+    """Equi-join whose output is expensive to work on although its inputs are small: rows
+    of ``left`` are spread over ``copies`` salts by the columns ``spread``, ``right`` is
+    repeated for each, and partitions are as many as there are cores to use."""
+    n = tasks_for(left.sparkSession)
+    a = left.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int")).repartition(n, key, SALT)
+    b = right.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(n, key, SALT)
+    return a.join(b.hint("shuffle_hash"), [key, SALT]).drop(SALT)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
