@@ -147,7 +147,7 @@ def parse_reference(ref: Column) -> Column:
     Decimal digits of any script count; one final line feed is tolerated; numbers
     beyond BIGINT give null parts.
     """
-    shape = r"^(\p{Nd}+):(\p{Nd}+)(?:-(\p{Nd}+))?\n?$"
+    shape = r"^(\p{Nd}+):(\p{Nd}+)(?:-(\p{Nd}+))?\n?\z"
 
     def number(g: int) -> Column:
         return plain_digits(F.regexp_extract(ref, shape, g)).try_cast("bigint")
