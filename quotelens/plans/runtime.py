@@ -3,12 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once for each context, so that
+    they need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quotelens_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="quotelens-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._quotelens_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,5 +47,6 @@ def materialize(df: DataFrame) -> DataFrame:
 
     For a result that several later steps read; it survives the loss of executors.
     """
+    ship(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint()
