@@ -162,11 +162,10 @@ def house_form(text: str | None) -> str | None:
     return out
 
 
-@F.pandas_udf(StringType())
-def _house_form_udf(texts: pd.Series) -> pd.Series:
+def _house_forms(texts: pd.Series) -> pd.Series:
     return texts.map(house_form, na_action="ignore")
 
 
 def house_form_col(text: Column | str) -> Column:
     """Column form; Arrow batches, one process-wide set of tables."""
-    return _house_form_udf(F.col(text) if isinstance(text, str) else text)
+    return F.pandas_udf(_house_forms, StringType())(F.col(text) if isinstance(text, str) else text)
