@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +44,18 @@ def get_surah(surahs: DataFrame, number: int) -> DataFrame:
     return surahs.where(F.col("number") == number).limit(1)
 
 
+def longest_text(corpus: DataFrame) -> int:
+    """Length of the longest normalized text."""
+    return corpus.agg(F.max("norm_len")).first()[0] or 0
+
+
+def lengths_within(size: Column, floor: float, longest: int) -> Column:
+    """The lengths, up to ``longest``, of texts whose similarity to one of ``size``
+    characters can reach ``floor``."""
+    low, high = F.floor(size * floor).cast("int"), F.least(F.lit(longest), F.ceil((size + 1) / floor).cast("int"))
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
 def search(queries: DataFrame, corpus: DataFrame, limit: int = 10, floor: float = 0.3) -> DataFrame:
     """(qid, id, surah, ayah, similarity, rank): the ``limit`` most similar verses of each
     query (qid, query), above ``floor`` only, ties in corpus order.
@@ -55,8 +67,7 @@ def search(queries: DataFrame, corpus: DataFrame, limit: int = 10, floor: float
         raise ValueError("limit must not be negative")
     asked = queries.select("qid", normalize_arabic(F.col("query")).alias("q")).where(F.col("q").isNotNull())
     texts = asked.select("q").distinct().withColumn("q_len", F.length("q"))
-    low, high = F.floor(F.col("q_len") * floor).cast("int"), F.ceil((F.col("q_len") + 1) / floor).cast("int")
-    ranged = texts.withColumn("norm_len", F.explode(F.sequence(low, high)))
+    ranged = texts.withColumn("norm_len", F.explode(lengths_within(F.col("q_len"), floor, longest_text(corpus))))
     verses = corpus.select("id", "surah", "ayah", "ord", "norm", "norm_len")
     met = costly_join(ranged, verses, "norm_len", ["q"]).withColumn("similarity", once(similarity(F.col("q"), F.col("norm")))).drop("norm")
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), "ord")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelens.functions.text import DIFF_TYPE, contains_arabic, find_differences, normalize_arabic, reference_text, similarity, strip
+from quotelens.operators.lookup import lengths_within, longest_text
 from quotelens.operators.skew import costly_join, once, salted_join, tasks_for
 from quotelens.options import ValidatorOptions
 from quotelens.plans.runtime import materialize
@@ -83,8 +84,9 @@ def partial_matches(texts: DataFrame, corpus: DataFrame) -> DataFrame:
     found = inside.unionByName(around).join(known, "norm").select("nq", "norm", "inside", "v")
     first = corpus.agg(F.min_by(F.struct("norm", _verse("ord").alias("v")), "ord").alias("f")).where(F.col("f").isNotNull()).select("f.*")  # one row
     blank = firsts.where(F.col("norm") == "")  # one row at most
-    every = asked.join(F.broadcast(blank), how="cross").select("nq", "norm", F.lit(False).alias("inside"), "v")
-    none = texts.where(F.col("nq") == "").join(F.broadcast(first), how="cross").select("nq", "norm", F.lit(True).alias("inside"), "v")
+    one = F.lit(1).alias("one")
+    every = asked.select("nq", one).join(F.broadcast(blank.select("*", one)), "one").select("nq", "norm", F.lit(False).alias("inside"), "v")
+    none = texts.where(F.col("nq") == "").select("nq", one).join(F.broadcast(first.select("*", one)), "one").select("nq", "norm", F.lit(True).alias("inside"), "v")
     best = found.unionByName(every).unionByName(none).groupBy("nq").agg(F.min_by(F.struct("norm", "inside", "v"), F.struct(F.col("v.ord"), ~F.col("inside"))).alias("b"))
     q, n = F.length("nq"), F.length("b.norm")
     confidence = F.when(F.col("b.inside"), F.lit(0.7) + F.coalesce(F.try_divide(q, n), F.lit(0.0)) * F.lit(0.2)).otherwise(F.lit(0.6) + F.coalesce(F.try_divide(n, q), F.lit(0.0)) * F.lit(0.2))
@@ -198,8 +200,7 @@ def fuzzy_matches(texts: DataFrame, corpus: DataFrame, opts: ValidatorOptions) -
     asked = texts.where(F.length("nq") > 0).select(F.col("nq").alias("q"))
     hit = similar_pairs(asked, known.where(F.length("norm") > 0), opts.fuzzy_threshold).select("q").distinct()
     floor = opts.fuzzy_threshold * 0.9
-    low, high = F.floor(F.length("q") * floor).cast("int"), F.ceil((F.length("q") + 1) / floor).cast("int")
-    ranged = hit.withColumn("norm_len", F.explode(F.sequence(low, high)))
+    ranged = hit.withColumn("norm_len", F.explode(lengths_within(F.length("q"), floor, longest_text(corpus))))
     met = with_similarity(costly_join(ranged, known.withColumn("norm_len", F.length("norm")), "norm_len", ["q"]), floor).select("q", "norm", "sim")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "ord"))
     keep = max(opts.max_suggestions, 1)
