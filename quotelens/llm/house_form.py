@@ -167,5 +167,9 @@ def _house_forms(texts: pd.Series) -> pd.Series:
 
 
 def house_form_col(text: Column | str) -> Column:
-    """Column form; Arrow batches, one process-wide set of tables."""
-    return F.pandas_udf(_house_forms, StringType())(F.col(text) if isinstance(text, str) else text)
+    """Column form; Arrow batches, one process-wide set of tables.
+
+    Declared nondeterministic so that a filter on its result isn't pushed below it, which
+    would compute it once for the filter and once more for the result.
+    """
+    return F.pandas_udf(_house_forms, StringType()).asNondeterministic()(F.col(text) if isinstance(text, str) else text)
