@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -35,17 +36,23 @@ _PARTIAL = pa.schema([("field", pa.string()), ("term", pa.string()), ("n_occurre
 
 @contextlib.contextmanager
 def _duck(spill: str | None):
-    """A DuckDB connection that spills into a folder of its own below ``spill``."""
+    """A DuckDB connection that spills into a folder of its own below ``spill``, which is
+    removed when the task is done."""
     import duckdb
 
-    root = None
+    # Without a mounted shared folder: where Spark itself spills on this executor.
+    scratch = os.environ.get("SPARK_EXECUTOR_DIRS") or os.environ.get("LOCAL_DIRS") or os.environ.get("SPARK_LOCAL_DIRS")
+    spill, root = spill or scratch and re.split("[,:]", scratch)[0], None
     if spill:
         os.makedirs(spill, exist_ok=True)
         root = tempfile.mkdtemp(prefix="terms-", dir=spill)
     con = duckdb.connect()
     try:
-        con.execute(f"SET threads=1; SET memory_limit='{MEMORY}'; SET preserve_insertion_order=false")
-        con.execute(f"SET temp_directory='{root or ''}'")
+        con.execute("SET threads=1")
+        con.execute("SET preserve_insertion_order=false")
+        if root:
+            con.execute(f"SET memory_limit='{MEMORY}'")
+            con.execute(f"SET temp_directory='{root}'")
         yield con
     finally:
         con.close()
@@ -116,8 +123,7 @@ def _merge_counts(batches: Iterator[pa.RecordBatch], spill: str | None, run_rows
 
 
 def _spill_dir(df: DataFrame) -> str | None:
-    """Where DuckDB may spill: below the shared folder where that is a mounted path;
-    elsewhere none, and runs are split until they fit memory."""
+    """Where DuckDB may spill: below the shared folder, where that is a mounted path."""
     path = shared_dir(df.sparkSession)
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
