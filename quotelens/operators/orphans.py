@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.chars import BLANKS, COLONS, DASHES, OTHER_DIGITS, PLAIN_DIGITS
-from quotelens.operators.skew import salted_join, union_all
+from quotelens.operators.skew import once, salted_join, union_all
+from quotelens.plans.runtime import materialize
 
 # A number of more digits than this is read as this power of ten: no key is as large.
 _DIGITS = 17
@@ -28,12 +29,8 @@ def readable(reference: Column) -> Column:
     return F.translate(F.regexp_replace(reference, r"[\p{Cf}\p{Cc}\p{Z}͏︀-️]", ""), _PLAIN[0] + BLANKS, _PLAIN[1])
 
 
-def reference_parts(reference: Column) -> Column:
-    """STRUCT<surah, start_ayah, end_ayah> (BIGINT) of ``s:a`` or ``s:a-b``.
-
-    Null for null or anything else; end_ayah is null for a single verse.
-    """
-    plain = readable(reference)
+def parts_of(plain: Column) -> Column:
+    """STRUCT<surah, start_ayah, end_ayah> (BIGINT) of a readable ``s:a`` or ``s:a-b``."""
     shape = r"^([0-9]+):([0-9]+)(?:-([0-9]+))?$"
 
     def number(group: int) -> Column:
@@ -43,6 +40,12 @@ def reference_parts(reference: Column) -> Column:
     return F.when(plain.rlike(shape), F.struct(number(1).alias("surah"), number(2).alias("start_ayah"), number(3).alias("end_ayah")))
 
 
+def reference_parts(reference: Column) -> Column:
+    """``parts_of`` a reference as written; null for null or anything else; end_ayah is
+    null for a single verse."""
+    return parts_of(readable(reference))
+
+
 def null_masks(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with ``null_mask``: one character for each key, '1' where it is null."""
     return df.withColumn("null_mask", F.concat(*[F.col(k).isNull().cast("int").cast("string") for k in keys]))
@@ -119,10 +122,11 @@ def orphan_references(refs: DataFrame, surahs: DataFrame, verses: DataFrame) ->
     no_surah, beyond, no_verse, removed, late, the first that holds.  Match semantics:
     a null surah or start_ayah is left aside, a null end_ayah names one verse, a range
     with end before start is left aside.  A null time has no month and is never
-    'removed' or 'late'.  Repeated rows count once.
+    'removed' or 'late'.  Repeated rows count once; other columns are ignored.
     """
-    masked = null_masks(refs.distinct(), ["surah", "start_ayah", "end_ayah"]).where(F.col("null_mask").isin("000", "001"))
-    rows = masked.where(F.coalesce(F.col("end_ayah") >= F.col("start_ayah"), F.lit(True))).drop("null_mask")
+    given = refs.select("table_name", "rec_id", "surah", "start_ayah", "end_ayah", "at").distinct()
+    masked = null_masks(given, ["surah", "start_ayah", "end_ayah"]).where(F.col("null_mask").isin("000", "001"))
+    rows = materialize(masked.where(F.coalesce(F.col("end_ayah") >= F.col("start_ayah"), F.lit(True))).drop("null_mask"))
     verdicts = verse_reference_verdicts(rows.select("surah", "start_ayah", "end_ayah").distinct(), surahs, verses)
     keyed = ["surah", "start_ayah", "end_key"]
     end = F.coalesce("end_ayah", F.lit(-1))
@@ -137,7 +141,8 @@ def orphan_references(refs: DataFrame, surahs: DataFrame, verses: DataFrame) ->
 
 def quote_references(quotes: DataFrame) -> DataFrame:
     """References written in quotes, as ``orphan_references`` takes them."""
-    parts = quotes.select("quote_id", "found_at", reference_parts(F.col("reference")).alias("r")).where(F.col("r").isNotNull())
+    written = quotes.where(F.col("reference").isNotNull()).select("quote_id", "found_at", once(readable(F.col("reference"))).alias("plain"))
+    parts = written.select("quote_id", "found_at", once(parts_of(F.col("plain"))).alias("r")).where(F.col("r").isNotNull())
     return parts.select(
         F.lit("quotes").alias("table_name"), F.col("quote_id").alias("rec_id"), F.col("r.surah").alias("surah"),
         F.col("r.start_ayah").alias("start_ayah"), F.col("r.end_ayah").alias("end_ayah"), F.col("found_at").alias("at"),
