@@ -17,8 +17,11 @@ def first_by_place(corpus: DataFrame) -> DataFrame:
 
 
 def get_verses(wanted: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``wanted`` (.., surah, ayah) with the verse's columns, null where there is none."""
-    return salted_join(wanted, first_by_place(corpus), ["surah", "ayah"], "left")
+    """``wanted`` (.., surah, ayah) with the verse's columns, null where there is none;
+    columns of these names are replaced."""
+    verses = first_by_place(corpus)
+    kept = [c for c in wanted.columns if c not in verses.columns or c in ("surah", "ayah")]
+    return salted_join(wanted.select(*kept), verses, ["surah", "ayah"], "left")
 
 
 def verse_ranges(ranges: DataFrame, corpus: DataFrame) -> DataFrame:

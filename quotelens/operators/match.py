@@ -236,31 +236,35 @@ def resolve(texts: DataFrame, corpus: DataFrame, opts: ValidatorOptions = Valida
     return early.unionByName(left.join(late, "nq").select("q", "match_type", "confidence", "v", "suggestions"))
 
 
+VERDICT = ("is_valid", "match_type", "confidence", "verse_id", "verse_text", "reference", "suggestions", "differences")
+
+
 def validate(quotes: DataFrame, corpus: DataFrame, opts: ValidatorOptions = ValidatorOptions(), with_differences: bool = True) -> DataFrame:
     """``quotes`` (.., text) with is_valid, match_type, confidence, verse_id, verse_text,
-    reference, differences and suggestions.
+    reference, suggestions and differences; columns of these names are replaced.
 
     ``corpus`` is prepared.  Without a match: false, 'none', 0.0, null verse, empty
     arrays.  Null texts have null verdicts and empty arrays.  Repeated texts are
     resolved once; an empty corpus matches nothing.
     """
-    stripped = quotes.withColumn("q", strip(F.col("text")))
-    verdicts = resolve(stripped.where(F.col("q").isNotNull()).select("q").distinct(), corpus, opts)
+    kept = [c for c in quotes.columns if c not in VERDICT]
+    stripped = quotes.select(*[F.col(f"`{c}`") for c in kept], strip(F.col("text")).alias("__q"))
+    verdicts = resolve(stripped.where(F.col("__q").isNotNull()).select(F.col("__q").alias("q")).distinct(), corpus, opts)
     differ = F.when(F.col("match_type") == "exact", F.array().cast(DIFF_TYPE)).otherwise(find_differences(F.col("q"), F.col("v.text")).cast(DIFF_TYPE))
     shown = verdicts.withColumn("differences", differ) if with_differences else verdicts
-    joined = salted_join(stripped, shown, ["q"], "left")
-    known = F.col("text").isNotNull()
+    joined = salted_join(stripped, shown.select(*[F.col(c).alias(f"__{c}") for c in shown.columns]), ["__q"], "left")
+    known, verse = F.col("text").isNotNull(), F.col("__v")
     out = [
-        F.when(known, F.col("match_type").isNotNull()).alias("is_valid"),
-        F.when(known, F.coalesce("match_type", F.lit("none"))).alias("match_type"),
-        F.when(known, F.coalesce("confidence", F.lit(0.0))).alias("confidence"),
-        F.col("v.id").alias("verse_id"), F.col("v.text").alias("verse_text"),
-        F.when(F.col("v").isNotNull(), reference_text(F.col("v.surah"), F.col("v.ayah"))).alias("reference"),
-        F.coalesce("suggestions", F.array().cast(SUGGESTIONS)).alias("suggestions"),
+        F.when(known, F.col("__match_type").isNotNull()).alias("is_valid"),
+        F.when(known, F.coalesce("__match_type", F.lit("none"))).alias("match_type"),
+        F.when(known, F.coalesce("__confidence", F.lit(0.0))).alias("confidence"),
+        verse["id"].alias("verse_id"), verse["text"].alias("verse_text"),
+        F.when(verse.isNotNull(), reference_text(verse["surah"], verse["ayah"])).alias("reference"),
+        F.coalesce("__suggestions", F.array().cast(SUGGESTIONS)).alias("suggestions"),
     ]
     if with_differences:
-        out.append(F.coalesce("differences", F.array().cast(DIFF_TYPE)).alias("differences"))
-    return joined.select(*quotes.columns, *out)
+        out.append(F.coalesce("__differences", F.array().cast(DIFF_TYPE)).alias("differences"))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], *out)
 
 
 def similarity_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:

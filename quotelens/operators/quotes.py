@@ -219,13 +219,15 @@ def validate_quotes(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
     """``quotes`` (.., text, expected_ref) with is_valid, correct_text and actual_ref.
 
     An invalid quote has neither; a valid one at another reference is invalid but has
-    both; a null or empty expected_ref expects nothing.
+    both; a null or empty expected_ref expects nothing.  Columns named like a verdict's
+    are dropped.
     """
-    v = match.validate(quotes, corpus, with_differences=False)
+    kept = [c for c in quotes.columns if c not in (*match.VERDICT, "correct_text", "actual_ref")]
+    v = match.validate(quotes.select(*kept), corpus, with_differences=False)
     expected = F.coalesce(F.col("expected_ref"), F.lit(""))
     wrong = F.col("is_valid") & (expected != "") & (expected != F.col("reference"))
     fixed = F.when(wrong | (F.col("match_type") != "exact"), F.col("verse_text"))
-    return v.select(*quotes.columns, (F.col("is_valid") & ~wrong).alias("is_valid"), F.when(F.col("is_valid"), fixed).alias("correct_text"), F.when(F.col("is_valid"), F.col("reference")).alias("actual_ref"))
+    return v.select(*kept, (F.col("is_valid") & ~wrong).alias("is_valid"), F.when(F.col("is_valid"), fixed).alias("correct_text"), F.when(F.col("is_valid"), F.col("reference")).alias("actual_ref"))
 
 
 def detect(docs: DataFrame, corpus: DataFrame, opts: ValidatorOptions = ValidatorOptions()) -> DataFrame:

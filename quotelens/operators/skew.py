@@ -37,7 +37,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     if not hot:
         return big.join(small, keys, how)
     parts = F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[_bucket(keys)], F.lit(1))
-    spread = F.pmod(F.xxhash64(*[c for c in big.columns]), parts).cast("int")
+    hashable = [f"`{n}`" for n, kind in big.dtypes if "map<" not in kind and kind != "variant"]
+    spread = F.pmod(F.xxhash64(*hashable), parts).cast("int")
     left = big.withColumn(SALT, spread)
     right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [*keys, SALT], how).drop(SALT)

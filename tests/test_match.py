@@ -93,6 +93,8 @@ def test_ranges_and_lookups(spark):
 def test_marked_text_with_extra_columns(spark):
     """Columns of the caller that clash with the operator's own names survive."""
     rows = verses()
-    df = spark.createDataFrame([(1, rows[0][3], "x", 5)], "k int, text string, nq string, surah int")
-    r = match.validate(df, corpus_of(spark, rows)).select("k", "nq", "surah", "match_type", F.size("suggestions").alias("n")).collect()[0]
-    assert tuple(r) == (1, "x", 5, "exact", 0)
+    df = spark.createDataFrame([(1, rows[0][3], "x", 5, 0.1, "old", {"a": 1})], "k int, text string, q string, surah int, confidence double, v string, m map<string,int>")
+    r = match.validate(df, corpus_of(spark, rows)).select("k", "q", "surah", "v", "match_type", "confidence", F.size("suggestions").alias("n")).collect()[0]
+    assert tuple(r) == (1, "x", 5, "old", "exact", 1.0, 0)
+    many = df.unionAll(df).crossJoin(spark.range(400)).select("k", "text", "m")
+    assert match.validate(many, corpus_of(spark, rows), with_differences=False).where("is_valid").count() == 800
