@@ -38,6 +38,7 @@ LEAST_CONFIDENCE = 0.08
 CACHE_WORDS = 400_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.;!?:…]+(?=[\s»”\"')])|\n")
+_RUN_NAMES = ("segment", "first_word", "n_words", "seg_lang", "confidence", "n_languages")
 _RUNS = "segment int, first_word int, n_words int, seg_lang string, confidence double, n_languages int"
 
 # How the languages are named besides their two-letter codes.
@@ -227,7 +228,7 @@ def _label(batches: Iterator[pa.RecordBatch], prof, by_language: bool) -> Iterat
             kept_columns = [c for c in batch.schema.names if c != "text"]
             taken = batch.select(kept_columns).take(pa.array(rows, pa.int64()))
             types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*taken.columns, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[*kept_columns, "segment", "first_word", "n_words", "seg_lang", "confidence", "n_languages"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[*kept_columns, *_RUN_NAMES])
 
 
 def build_profiles(samples: DataFrame, lang: str, text: str) -> Profiles:
@@ -240,14 +241,15 @@ def build_profiles(samples: DataFrame, lang: str, text: str) -> Profiles:
 def language_runs(documents: DataFrame, prof: Profiles, by_language: bool = False) -> DataFrame:
     """``documents`` (.., text) without the text, a row for each run of at least
     ``RUN_WORDS`` words of one language: segment, first_word, n_words, seg_lang,
-    confidence, n_languages (of the document).  With ``by_language`` the runs of one
+    confidence, n_languages (of the document); columns of these names are replaced.  With ``by_language`` the runs of one
     language in a document are one row.
 
     Null, empty and blank texts and texts without such a run give no rows.  confidence
     is how much nearer the language's profile is than the next one's, from 0 to 1.
     """
     sc = documents.sparkSession.sparkContext
-    kept = [f for f in documents.schema.fields if f.name != "text"]
+    kept = [f for f in documents.schema.fields if f.name != "text" and f.name not in _RUN_NAMES]
+    documents = documents.select(*[F.col(f"`{f.name}`") for f in kept], "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), _RUNS])
     return documents.mapInArrow(partial(_label, prof=sc.broadcast(prof), by_language=by_language), schema)
 

@@ -27,7 +27,7 @@ def test_passages_and_labels(spark, prof):
 
 
 def test_runs_cover_whole_text_and_keep_columns(spark, prof):
-    docs = spark.createDataFrame([(1, EN + "\n" + DE + "\n" + EN, "x")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, EN + "\n" + DE + "\n" + EN, "x", "clash")], "doc_id long, text string, lang string, segment string")
     runs = language.language_runs(docs, prof).orderBy("segment").collect()
     assert [r.seg_lang for r in runs] == ["en", "de", "en"]
     assert [r.first_word for r in runs] == [0, runs[0].n_words, runs[0].n_words + runs[1].n_words]
