@@ -208,13 +208,14 @@ def shared_shares(records: DataFrame, least: int = 50, **how: int) -> DataFrame:
     of different ids share all; texts are read whole; an empty table gives no rows; other
     columns are ignored.
     """
-    keyed = records.select("rec_id", "text").distinct().withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
-    long = keyed.where(F.length("text") >= least)
-    docs = materialize(long.groupBy("k1", "k2", "text").agg(F.min("rec_id").alias("doc"), F.count("*").alias("copies")))
+    hashed = records.select("rec_id", "text", F.length("text").alias("n_chars"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    long = hashed.where(F.col("n_chars") >= least)
+    # A text's copies: two different ids are enough to know.
+    docs = materialize(long.groupBy("k1", "k2", "text").agg(F.min("rec_id").alias("doc"), (F.min("rec_id") < F.max("rec_id")).alias("copied")))
     covered = covered_chars(shared_stretches(docs.select("doc", "text"), least, **how))
-    known = docs.select("k1", "k2", "doc", "copies").join(covered.select("doc", "shared_chars"), "doc", "left")
-    verdicts = known.where(F.col("shared_chars").isNotNull() | (F.col("copies") > 1)).select("k1", "k2", "copies", "shared_chars")
-    size = F.length("text")
-    joined = salted_join(keyed.select("rec_id", size.alias("n_chars"), "k1", "k2"), verdicts, ["k1", "k2"], "left")
-    shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)))
+    known = docs.select("k1", "k2", "doc", "copied").join(covered.select("doc", "shared_chars"), "doc", "left")
+    verdicts = known.where(F.col("shared_chars").isNotNull() | F.col("copied")).select("k1", "k2", "copied", "shared_chars")
+    members = hashed.select("rec_id", "n_chars", "k1", "k2").distinct()
+    joined = salted_join(members, verdicts, ["k1", "k2"], "left")
+    shared = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)))
     return joined.select("rec_id", "n_chars", shared.cast("int").alias("shared_chars"))
