@@ -5,6 +5,8 @@ Lengths and offsets count code points.  Null in, null out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,11 @@ def strip_arabic_digits(text: Column) -> Column:
     return strip(F.translate(text, "٠١٢٣٤٥٦٧٨٩", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """ARRAY<STRUCT<text, start, end>> of all matches, in order.
 
@@ -78,7 +85,9 @@ def spans(text: Column, pattern: str) -> Column:
         grown = F.concat(acc["out"], F.array(F.struct(x["hit"].alias("text"), at.alias("start"), until.alias("end"))))
         return F.struct(until.alias("pos"), grown.alias("out")).cast(f"struct<pos:int,out:{SPAN_TYPE}>")
 
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    # The last gap follows the last match; it has no match of its own.
+    zipped = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    pairs = F.filter(zipped, lambda x: x["hit"].isNotNull())
     return F.aggregate(pairs, start.cast(f"struct<pos:int,out:{SPAN_TYPE}>"), step, lambda acc: acc["out"])
 
 
@@ -109,32 +118,28 @@ def find_differences(given: Column, correct: Column) -> Column:
     m = F.least(F.length(given), F.length(correct))
     marks = F.zip_with(F.split(given, ""), F.split(correct, ""), lambda x, y: F.when(x.isNull() | y.isNull(), "").when(x == y, "0").otherwise("1"))
     mask = F.when(m == 0, F.lit("")).otherwise(F.array_join(marks, ""))
-    runs = spans(mask, "1+")
 
-    def cut(s: Column, start: Column, n: Column) -> Column:
-        return F.substring(s, start + 1, n)
+    def cut(text: Column, start: Column, n: Column) -> Column:
+        return F.substring(text, start + 1, n)
+
+    def run(start: Column, n: Column) -> Column:
+        return F.struct(cut(given, start, n).alias("input"), cut(correct, start, n).alias("correct"), start.alias("position"))
 
-    closed = F.transform(
-        F.filter(runs, lambda r: r["end"] < m),
-        lambda r: F.struct(cut(given, r["start"], r["end"] - r["start"]).alias("input"), cut(correct, r["start"], r["end"] - r["start"]).alias("correct"), r["start"].alias("position")),
-    )
     rest = F.lit(2**30)
-    tail = F.transform(
-        F.filter(runs, lambda r: r["end"] == m),
-        lambda r: F.struct(cut(given, r["start"], rest).alias("input"), cut(correct, r["start"], rest).alias("correct"), r["start"].alias("position")),
+    lone = F.array(
+        F.struct(
+            F.coalesce(F.nullif(cut(given, m, rest), F.lit("")), F.lit("(missing)")).alias("input"),
+            F.coalesce(F.nullif(cut(correct, m, rest), F.lit("")), F.lit("(extra)")).alias("correct"),
+            m.alias("position"),
+        )
     )
-    open_run = F.substring(mask, -1, 1) == "1"
-    lone = F.when(
-        ~open_run & (F.length(given) != F.length(correct)),
-        F.array(
-            F.struct(
-                F.coalesce(F.nullif(cut(given, m, rest), F.lit("")), F.lit("(missing)")).alias("input"),
-                F.coalesce(F.nullif(cut(correct, m, rest), F.lit("")), F.lit("(extra)")).alias("correct"),
-                m.alias("position"),
-            )
-        ),
-    ).otherwise(F.array().cast(DIFF_TYPE))
-    return F.when(given.isNotNull() & correct.isNotNull(), F.concat(closed, tail, lone))
+
+    def listed(runs: Column) -> Column:
+        inner = F.transform(runs, lambda r: F.when(r["end"] < m, run(r["start"], r["end"] - r["start"])).otherwise(run(r["start"], rest)))
+        open_run = F.exists(runs, lambda r: r["end"] == m)
+        return F.concat(inner.cast(DIFF_TYPE), F.when(~open_run & (F.length(given) != F.length(correct)), lone).otherwise(F.array()).cast(DIFF_TYPE))
+
+    return F.when(given.isNotNull() & correct.isNotNull(), let(spans(mask, "1+"), listed))
 
 
 def plain_digits(text: Column) -> Column:
