@@ -2,9 +2,9 @@
 
 Method: composite keys with partial nulls.  References are grouped by their null
 mask; the distinct keys of each mask are anti-joined on the mask's non-null columns
-under declared match semantics, and only the few distinct keys are compared with
-the target tables.  The verdict then joins back to the rows, salted, because one
-key may hold a third of them.
+under declared match semantics (``find_orphans``), and only the few distinct keys are
+compared with the target tables.  The verdict then joins back to the rows, salted,
+because one key may hold a third of them.
 """
 
 from __future__ import annotations
@@ -81,62 +81,64 @@ def find_orphans(refs: DataFrame, target: DataFrame, keys: list[str], match: str
     return union_all(lost) if lost else masked.limit(0)
 
 
-def verse_reference_verdicts(keys: DataFrame, surahs: DataFrame, verses: DataFrame) -> DataFrame:
-    """For distinct keys (surah, start_ayah, end_ayah): what is wrong at any time, and
-    from or until when they name something.
+def reference_kinds(keys: DataFrame, surahs: DataFrame, verses: DataFrame, match: str = "simple") -> DataFrame:
+    """What is wrong with distinct complete keys (surah, start_ayah, last): a row with
+    ``fixed_kind`` ('no_surah', 'beyond' or 'no_verse') for those that never name
+    something, and one with ``gone_from`` (earliest removal in the range) and
+    ``there_from`` (when the last verse of the range had first been loaded) for the rest.
 
-    Columns besides the key: ``fixed_kind`` ('no_surah', 'beyond', 'no_verse' or
-    null), ``gone_from`` (earliest removal in the range) and ``there_from`` (when
-    the last verse of the range had first been loaded).
+    Kinds are successive anti-joins: chapters on (surah); then, for the ranges within
+    their chapter's count, every verse of the range on (surah, ayah).
     """
+    key = ["surah", "start_ayah", "last"]
     counted = verses.groupBy("surah", "ayah").agg(F.min("removed_at").alias("removed_at"), F.min("loaded_at").alias("first_loaded"))
     most = verses.groupBy("surah").agg(F.max("ayah").alias("most"))
     dims = surahs.select(F.col("number").alias("surah"), "verses_count").groupBy("surah").agg(F.max("verses_count").alias("verses_count"))
-    last = F.coalesce("end_ayah", "start_ayah")
-    known = keys.join(dims.withColumn("known", F.lit(True)), "surah", "left").join(most, "surah", "left")
-    verdict = (
-        F.when(F.col("known").isNull(), "no_surah")
-        .when((F.col("start_ayah") < 1) | (last > F.col("verses_count")), "beyond")
-        .when(last > F.coalesce("verses_count", "most", F.lit(0)), "no_verse")
-    )
-    judged = known.select("surah", "start_ayah", "end_ayah", verdict.alias("fixed_kind"))
-    bounded = judged.where(F.col("fixed_kind").isNull())  # at most verses_count ayahs a range
-    found = (
-        bounded.withColumn("ayah", F.explode(F.sequence("start_ayah", last)))
-        .join(counted, ["surah", "ayah"], "left")
-        .groupBy("surah", "start_ayah", "end_ayah")
-        .agg(
-            F.when(F.bool_or(F.col("first_loaded").isNull()), "no_verse").alias("fixed_kind"),
-            F.min("removed_at").alias("gone_from"),
-            F.max("first_loaded").alias("there_from"),
-        )
-    )
-    early = judged.where(F.col("fixed_kind").isNotNull()).select("*", F.lit(None).cast("timestamp").alias("gone_from"), F.lit(None).cast("timestamp").alias("there_from"))
-    return early.unionByName(found)
-
-
-def orphan_references(refs: DataFrame, surahs: DataFrame, verses: DataFrame) -> DataFrame:
+    none = find_orphans(keys, dims, ["surah"], match).select(*key, F.lit("no_surah").alias("fixed_kind"))
+    known = keys.join(dims, "surah").join(most, "surah", "left")
+    outside = F.coalesce((F.col("start_ayah") < 1) | (F.col("last") > F.col("verses_count")), F.col("start_ayah") < 1)
+    # Where a chapter's count is null, its last verse bounds what is looked up.
+    unheld = F.col("last") > F.coalesce("verses_count", "most", F.lit(0))
+    judged = known.select(*key, F.when(outside, "beyond").when(unheld, "no_verse").alias("fixed_kind"))
+    bounded = judged.where(F.col("fixed_kind").isNull()).select(*key)  # at most verses_count ayahs a range
+    named = materialize(bounded.withColumn("ayah", F.explode(F.sequence("start_ayah", "last"))))
+    missing = find_orphans(named, counted, ["surah", "ayah"], match).select(*key).distinct()
+    times = salted_join(named, counted, ["surah", "ayah"]).groupBy(*key).agg(F.min("removed_at").alias("gone_from"), F.max("first_loaded").alias("there_from"))
+    fixed = none.unionByName(judged.where(F.col("fixed_kind").isNotNull())).unionByName(missing.select(*key, F.lit("no_verse").alias("fixed_kind")))
+    return fixed.unionByName(times.join(missing, key, "left_anti"), allowMissingColumns=True)
+
+
+def orphan_references(refs: DataFrame, surahs: DataFrame, verses: DataFrame, match: str = "simple") -> DataFrame:
     """Orphans among ``refs`` (table_name, rec_id, surah, start_ayah, end_ayah, at).
 
     Returns (table_name, rec_id, month_key, orphan_kind); kinds in the order
-    no_surah, beyond, no_verse, removed, late, the first that holds.  Match semantics:
-    a null surah or start_ayah is left aside, a null end_ayah names one verse, a range
+    no_surah, beyond, no_verse, removed, late, the first that holds.  References are
+    grouped by the null mask of (surah, start_ayah), and ``match`` declares what a
+    partly null one means, as in ``find_orphans``: 'simple' leaves it aside; 'partial'
+    makes it 'no_surah' or 'no_verse' where what it does name stands in no verse; 'full'
+    makes it 'incomplete'.  A null end_ayah isn't unknown but names one verse; a range
     with end before start is left aside.  A null time has no month and is never
     'removed' or 'late'.  Repeated rows count once; other columns are ignored.
     """
     given = refs.select("table_name", "rec_id", "surah", "start_ayah", "end_ayah", "at").distinct()
-    masked = null_masks(given, ["surah", "start_ayah", "end_ayah"]).where(F.col("null_mask").isin("000", "001"))
-    rows = materialize(masked.where(F.coalesce(F.col("end_ayah") >= F.col("start_ayah"), F.lit(True))).drop("null_mask"))
-    verdicts = verse_reference_verdicts(rows.select("surah", "start_ayah", "end_ayah").distinct(), surahs, verses)
-    keyed = ["surah", "start_ayah", "end_key"]
-    end = F.coalesce("end_ayah", F.lit(-1))
-    joined = salted_join(rows.withColumn("end_key", end).drop("end_ayah"), verdicts.withColumn("end_key", end).drop("end_ayah"), keyed)
+    masked = null_masks(given.where(F.coalesce(F.col("end_ayah") >= F.col("start_ayah"), F.lit(True))), ["surah", "start_ayah"])
+    rows = materialize(masked.withColumn("last", F.coalesce("end_ayah", "start_ayah")))
+    whole = rows.where(F.col("null_mask") == "00")
+    key = ["surah", "start_ayah", "last"]
+    kinds = reference_kinds(whole.select(*key).distinct(), surahs, verses, match)
     kind = F.coalesce(
         "fixed_kind",
         F.when(F.col("gone_from") <= F.col("at"), "removed"),
         F.when(F.col("there_from") > F.col("at"), "late"),
     )
-    return joined.select("table_name", "rec_id", F.date_format("at", "yyyy-MM").alias("month_key"), kind.alias("orphan_kind")).where(F.col("orphan_kind").isNotNull())
+    shown = ("table_name", "rec_id", F.date_format("at", "yyyy-MM").alias("month_key"))
+    found = [salted_join(whole, kinds, key).select(*shown, kind.alias("orphan_kind")).where(F.col("orphan_kind").isNotNull())]
+    if match != "simple":
+        partly = rows.where(F.col("null_mask") != "00").withColumn("ayah", F.col("start_ayah")).drop("null_mask")
+        lost = find_orphans(partly, verses, ["surah", "ayah"], match)
+        why = F.when(F.lit(match == "full"), "incomplete").when(F.col("surah").isNull(), "no_verse").otherwise("no_surah")
+        found.append(lost.select(*shown, why.alias("orphan_kind")))
+    return union_all(found)
 
 
 def quote_references(quotes: DataFrame) -> DataFrame:

@@ -46,6 +46,17 @@ def test_kinds(spark, tables):
     assert {r.orphan_kind for r in orphans.orphan_references(refs, tables[0].limit(0), tables[1]).collect()} == {"no_surah"}
 
 
+def test_partly_null_references(spark, tables):
+    rows = [("q", 1, 7, None, None, at(1)), ("q", 2, None, 9, None, at(1)), ("q", 3, 2, None, None, at(1)), ("q", 4, None, 1, 2, at(1)), ("q", 5, None, None, None, at(1)), ("q", 6, 9, 1, None, at(1))]
+    refs = spark.createDataFrame(rows, "table_name string, rec_id long, surah long, start_ayah long, end_ayah long, at timestamp")
+    kinds = lambda m: {(r.rec_id, r.orphan_kind) for r in orphans.orphan_references(refs, *tables, m).collect()}
+    assert kinds("simple") == {(6, "no_surah")}
+    assert kinds("partial") == {(6, "no_surah"), (1, "no_surah"), (2, "no_verse")}
+    assert kinds("full") == {(6, "no_surah"), (1, "incomplete"), (2, "incomplete"), (3, "incomplete"), (4, "incomplete")}
+    plan = orphans.orphan_references(refs, *tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") >= 3
+
+
 def test_match_semantics(spark):
     refs = spark.createDataFrame([(1, 1, 1), (2, 1, 9), (3, 1, None), (4, 9, None), (5, None, None), (6, None, 1), (1, 1, 1), (2, 1, 9)], "r int, a int, b int")
     target = spark.createDataFrame([(1, 1, 0), (2, 2, 0), (None, 9, 0)], "a int, b int, r int")
