@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.chars import BLANKS, COLONS, DASHES, OTHER_DIGITS, PLAIN_DIGITS
-from quotelens.operators.skew import once, salted_join, union_all
+from quotelens.operators.skew import hot_buckets, once, salted_join, union_all
 from quotelens.plans.runtime import materialize
 
 # A number of more digits than this is read as this power of ten: no key is as large.
@@ -51,7 +51,7 @@ def null_masks(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("null_mask", F.concat(*[F.col(k).isNull().cast("int").cast("string") for k in keys]))
 
 
-def find_orphans(refs: DataFrame, target: DataFrame, keys: list[str], match: str = "simple") -> DataFrame:
+def find_orphans(refs: DataFrame, target: DataFrame, keys: list[str], match: str = "simple", hot: dict[int, int] | None = None) -> DataFrame:
     """Rows of ``refs`` whose composite key names no row of ``target``.
 
     ``match`` declares what a partly null key means, as in SQL's referential
@@ -60,7 +60,8 @@ def find_orphans(refs: DataFrame, target: DataFrame, keys: list[str], match: str
     null: always one).  Each null mask is anti-joined on its own non-null columns,
     over distinct keys; null keys of ``target`` match nothing.  The result has the
     columns of ``refs`` plus null_mask.  Repeated rows stay repeated; an empty target
-    makes every complete key an orphan; other columns of ``target`` are ignored.
+    makes every complete key an orphan; other columns of ``target`` are ignored.  ``hot``: the hot buckets of
+    complete keys, where they are at hand.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match semantics: {match}")
@@ -77,7 +78,7 @@ def find_orphans(refs: DataFrame, target: DataFrame, keys: list[str], match: str
             continue
         named = rows.select(*held).distinct()
         missing = named.join(known.select(*held).distinct(), held, "left_anti")
-        lost.append(salted_join(rows, missing, held).select(masked.columns))
+        lost.append(salted_join(rows, missing, held, hot=hot if held == keys else None).select(masked.columns))
     return union_all(lost) if lost else masked.limit(0)
 
 
@@ -102,8 +103,9 @@ def reference_kinds(keys: DataFrame, surahs: DataFrame, verses: DataFrame, match
     judged = known.select(*key, F.when(outside, "beyond").when(unheld, "no_verse").alias("fixed_kind"))
     bounded = judged.where(F.col("fixed_kind").isNull()).select(*key)  # at most verses_count ayahs a range
     named = materialize(bounded.withColumn("ayah", F.explode(F.sequence("start_ayah", "last"))))
-    missing = find_orphans(named, counted, ["surah", "ayah"], match).select(*key).distinct()
-    times = salted_join(named, counted, ["surah", "ayah"]).groupBy(*key).agg(F.min("removed_at").alias("gone_from"), F.max("first_loaded").alias("there_from"))
+    hot = hot_buckets(named, ["surah", "ayah"])
+    missing = find_orphans(named, counted, ["surah", "ayah"], match, hot).select(*key).distinct()
+    times = salted_join(named, counted, ["surah", "ayah"], hot=hot).groupBy(*key).agg(F.min("removed_at").alias("gone_from"), F.max("first_loaded").alias("there_from"))
     fixed = none.unionByName(judged.where(F.col("fixed_kind").isNotNull())).unionByName(missing.select(*key, F.lit("no_verse").alias("fixed_kind")))
     return fixed.unionByName(times.join(missing, key, "left_anti"), allowMissingColumns=True)
 
@@ -125,7 +127,7 @@ def orphan_references(refs: DataFrame, surahs: DataFrame, verses: DataFrame, mat
     rows = materialize(masked.withColumn("last", F.coalesce("end_ayah", "start_ayah")))
     whole = rows.where(F.col("null_mask") == "00")
     key = ["surah", "start_ayah", "last"]
-    kinds = reference_kinds(whole.select(*key).distinct(), surahs, verses, match)
+    kinds = reference_kinds(materialize(whole.select(*key).distinct()), surahs, verses, match)
     kind = F.coalesce(
         "fixed_kind",
         F.when(F.col("gone_from") <= F.col("at"), "removed"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Key hashes are counted in this many buckets; what the driver sees is bounded by it.
 BUCKETS = 4096
+#: Rows of one key that one task of a join takes.
+ROWS_PER_PART = 100_000
 SALT = "__salt"
 
 
@@ -16,27 +18,40 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_buckets(df: DataFrame, keys: list[str], rows_per_part: int) -> dict[int, int]:
-    """Key-hash buckets with far more rows than the others, and into how many parts
-    each must be split.  At most ``BUCKETS`` counts reach the driver."""
-    counts = dict(df.select(_bucket(keys).alias("b")).groupBy("b").count().toArrow().to_pandas().itertuples(index=False, name=None))
-    usual = max(rows_per_part, 4 * sum(counts.values()) // BUCKETS)
-    return {b: -(-n // usual) for b, n in counts.items() if n > usual}
+def hot_buckets(df: DataFrame, keys: list[str], rows_per_part: int = ROWS_PER_PART) -> dict[int, int]:
+    """Key-hash buckets in which some key has more than ``rows_per_part`` rows, and into
+    how many parts such a bucket must be split for none of its keys to have more in one.
+
+    Rows are counted by bucket; only the keys of buckets with more rows than that are
+    then counted one by one, pre-aggregated.  Two numbers a bucket reach the driver at
+    most, ``BUCKETS`` times, however many keys or rows there are.
+    """
+    bucketed = df.withColumn(SALT, _bucket(keys))
+    full = [r[0] for r in bucketed.groupBy(SALT).count().where(F.col("count") > rows_per_part).collect()]
+    if not full:
+        return {}
+    counted = bucketed.where(F.col(SALT).isin(full)).groupBy(SALT, *keys).count().groupBy(SALT).agg(F.max("count").alias("most"))
+    return {b: -(-n // rows_per_part) for b, n in counted.where(F.col("most") > rows_per_part).collect()}
+
+
+def parts_of(hot: dict[int, int], keys: list[str]) -> Column:
+    """Into how many parts the rows of each key are split."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[_bucket(keys)], F.lit(1)) if hot else F.lit(1)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows_per_part: int = 100_000) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows_per_part: int = ROWS_PER_PART, hot: dict[int, int] | None = None) -> DataFrame:
     """Equi-join in which the hot keys of ``big`` are spread over several tasks.
 
-    Buckets of key hashes are counted first; rows of ``big`` in a hot bucket get a
-    salt, rows of ``small`` there are repeated once for each salt.  ``how`` is
-    'inner' or 'left' (``big`` on the left).  Null keys match nothing, as in SQL.
-    An empty side gives the result SQL gives.  Columns other than the keys must
-    have different names on both sides.
+    ``hot`` tells them where that is known already (``hot_buckets``); else they are
+    counted first.  Rows of ``big`` in a hot bucket get a salt, rows of ``small`` there
+    are repeated once for each salt.  ``how`` is 'inner' or 'left' (``big`` on the left).
+    Null keys match nothing, as in SQL.  An empty side gives the result SQL gives.
+    Columns other than the keys must have different names on both sides.
     """
-    hot = hot_buckets(big, keys, rows_per_part)
+    hot = hot_buckets(big, keys, rows_per_part) if hot is None else hot
     if not hot:
         return big.join(small, keys, how)
-    parts = F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[_bucket(keys)], F.lit(1))
+    parts = parts_of(hot, keys)
     hashable = [f"`{n}`" for n, kind in big.dtypes if "map<" not in kind and kind != "variant"]
     spread = F.pmod(F.xxhash64(*hashable), parts).cast("int")
     left = big.withColumn(SALT, spread)
