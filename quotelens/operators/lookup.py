@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quotelens.functions.text import normalize_arabic, similarity
-from quotelens.operators.skew import costly_join, once, salted_join
+from quotelens.functions.text import normalize_arabic
+from quotelens.operators.distance import distances, padded
+from quotelens.operators.skew import salted_join, tasks_for
+from quotelens.plans.runtime import materialize
 
 
 def first_by_place(corpus: DataFrame) -> DataFrame:
@@ -29,7 +34,11 @@ def verse_ranges(ranges: DataFrame, corpus: DataFrame) -> DataFrame:
     of whose verses are there; reversed, incomplete and null ranges give no row."""
     keys = ranges.select("surah", "start_ayah", "end_ayah").distinct().where(F.col("start_ayah") <= F.col("end_ayah"))
     verses = first_by_place(corpus).select("surah", "ayah", "id", "text", "text_simple")
-    met = keys.join(verses, "surah").where(F.col("ayah").between(F.col("start_ayah"), F.col("end_ayah")))
+    # Ranges beyond a surah's last verse are never whole; the rest name its verses one by one.
+    held = corpus.groupBy("surah").agg(F.min("ayah").alias("first"), F.max("ayah").alias("last"))
+    inside = keys.join(held, "surah").where((F.col("start_ayah") >= F.col("first")) & (F.col("end_ayah") <= F.col("last")))
+    named = materialize(inside.select("surah", "start_ayah", "end_ayah", F.explode(F.sequence("start_ayah", "end_ayah")).alias("ayah")))
+    met = salted_join(named, verses, ["surah", "ayah"])
     in_order = F.array_sort(F.collect_list(F.struct("ayah", "id", "text", "text_simple"))).alias("v")
     grouped = met.groupBy("surah", "start_ayah", "end_ayah").agg(in_order)
     whole = grouped.where(F.size("v") == F.col("end_ayah").cast("bigint") - F.col("start_ayah") + 1)
@@ -47,32 +56,63 @@ def get_surah(surahs: DataFrame, number: int) -> DataFrame:
     return surahs.where(F.col("number") == number).limit(1)
 
 
-def longest_text(corpus: DataFrame) -> int:
-    """Length of the longest normalized text."""
-    return corpus.agg(F.max("norm_len")).first()[0] or 0
-
-
-def lengths_within(size: Column, floor: float, longest: int) -> Column:
-    """The lengths, up to ``longest``, of texts whose similarity to one of ``size``
-    characters can reach ``floor``."""
-    low, high = F.floor(size * floor).cast("int"), F.least(F.lit(longest), F.ceil((size + 1) / floor).cast("int"))
-    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+#: Queries and texts of the corpus that are compared in one block.
+QUERIES, TEXTS = 1000, 5000
+
+
+def _search_block(queries: pa.Table, verses: pa.Table, limit: int, floor: float) -> pa.Table:
+    """The best ``limit`` verses of the block for each query of the block."""
+    shape = pa.schema([("q", pa.string()), ("id", pa.int32()), ("surah", pa.int32()), ("ayah", pa.int32()), ("ord", pa.int64()), ("similarity", pa.float64())])
+    if not queries.num_rows or not verses.num_rows:
+        return shape.empty_table()
+    verses = verses.take(pc.sort_indices(pc.utf8_length(verses.column("norm"))))
+    symbols, sizes = padded(verses.column("norm").to_pylist())
+    alphabet = np.unique(symbols)
+    symbols = np.searchsorted(alphabet, symbols)
+    order, rows, owners, found = verses.column("ord").to_numpy(), [], [], []
+    for k, q in enumerate(queries.column("q").to_pylist()):
+        # A similarity above the floor bounds the ratio of lengths.
+        a, b = np.searchsorted(sizes, int(len(q) * floor)), np.searchsorted(sizes, len(q) / floor + 1, side="right") if floor > 0 else len(sizes)
+        if a >= b:
+            continue
+        longer = np.maximum(sizes[a:b], len(q))
+        near = np.where(longer > 0, 1.0 - distances(q, symbols[: int(sizes[b - 1]), a:b], sizes[a:b], alphabet) / np.maximum(longer, 1), 1.0)
+        hit = np.flatnonzero(near > floor)
+        best = hit[np.lexsort((order[a:b][hit], -near[hit]))[:limit]]
+        rows.append(a + best)
+        owners.append(np.full(len(best), k))
+        found.append(near[best])
+    if not rows:
+        return shape.empty_table()
+    taken = verses.take(pa.array(np.concatenate(rows))).select(["id", "surah", "ayah", "ord"])
+    texts = queries.column("q").take(pa.array(np.concatenate(owners)))
+    return pa.Table.from_arrays([texts, *taken.columns, pa.array(np.concatenate(found))], names=shape.names).cast(shape)
 
 
 def search(queries: DataFrame, corpus: DataFrame, limit: int = 10, floor: float = 0.3) -> DataFrame:
     """(qid, id, surah, ayah, similarity, rank): the ``limit`` most similar verses of each
     query (qid, query), above ``floor`` only, ties in corpus order.
 
-    ``corpus`` is prepared.  A similarity above the floor bounds the ratio of lengths, so
-    queries meet only verses of lengths that can pass.
+    ``corpus`` is prepared.  Every query meets every verse of a length that can pass: both
+    sides are cut into blocks of bounded size, a task compares one block with another
+    and keeps the best of each query, so that little is left to rank.  Null queries
+    have no rows; an empty query finds verses that normalize to nothing.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
-    asked = queries.select("qid", normalize_arabic(F.col("query")).alias("q")).where(F.col("q").isNotNull())
-    texts = asked.select("q").distinct().withColumn("q_len", F.length("q"))
-    ranged = texts.withColumn("norm_len", F.explode(lengths_within(F.col("q_len"), floor, longest_text(corpus))))
-    verses = corpus.select("id", "surah", "ayah", "ord", "norm", "norm_len")
-    met = costly_join(ranged, verses, "norm_len", ["q"]).withColumn("similarity", once(similarity(F.col("q"), F.col("norm")))).drop("norm")
+    asked = materialize(queries.select("qid", normalize_arabic(F.col("query")).alias("q")).where(F.col("q").isNotNull()))
+    texts = materialize(asked.select("q").distinct())
+    verses = corpus.select(F.col("id").cast("int").alias("id"), F.col("surah").cast("int").alias("surah"), F.col("ayah").cast("int").alias("ayah"), F.col("ord").cast("long").alias("ord"), "norm").where(F.col("norm").isNotNull())
+    n_queries, n_verses = texts.count(), verses.count()
+    wide = max(1, -(-n_verses // TEXTS))
+    tall = max(1, -(-n_queries // QUERIES), min(-(-tasks_for(queries.sparkSession) // wide), n_queries))
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = texts.select("q", part("q", tall).alias("i"), every(wide).alias("j"))
+    right = verses.select("*", part("id", wide).alias("j"), every(tall).alias("i"))
+    block = lambda a, b: _search_block(a, b, limit, floor)
+    tiles = left.repartition(wide * tall, "i", "j").groupBy("i", "j").cogroup(right.repartition(wide * tall, "i", "j").groupBy("i", "j"))
+    met = tiles.applyInArrow(block, "q string, id int, surah int, ayah int, ord long, similarity double")
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), "ord")
-    top = met.where(F.col("similarity") > floor).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return salted_join(asked, top.select("q", "id", "surah", "ayah", "similarity", "rank"), ["q"]).select("qid", "id", "surah", "ayah", "similarity", "rank")

@@ -7,10 +7,8 @@ joins on the rarest n-gram of the contained text, similarity on n-gram prefixes.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelens.functions.text import DIFF_TYPE, contains_arabic, find_differences, normalize_arabic, reference_text, similarity, strip
-from quotelens.operators.lookup import lengths_within, longest_text
-from quotelens.operators.skew import costly_join, once, salted_join, tasks_for
+from quotelens.operators import grams
+from quotelens.operators.skew import costly_join, hot_counts, once, salted_join, tasks_for
 from quotelens.options import ValidatorOptions
 from quotelens.plans.runtime import materialize
 
 VERSE = ("id", "surah", "ayah", "text")
 SUGGESTIONS = "array<struct<verse_id:int,reference:string,confidence:double>>"
 #: n-grams are counted in 2**GRAM_BITS buckets, the size of what is broadcast.
-GRAM, GRAM_BITS = 3, 18
+GRAM_BITS = 18
+#: Containing texts of one n-gram in a tile, and pairs that a tile may have to compare.
+HAYS, TILE_PAIRS = 50_000, 2_000_000
 
 
 def _verse(*more: str) -> Column:
@@ -50,23 +50,42 @@ def normalized_verses(corpus: DataFrame, keep: int) -> DataFrame:
     return grouped.select("norm", "v", F.when(F.size("l") > 1, all_of).otherwise(F.array()).cast(SUGGESTIONS).alias("suggestions"))
 
 
-def _grams(s: Column, n: int) -> Column:
-    """Distinct n-grams of a text of at least n characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n))))
+def _gram_rows(df: DataFrame, text: str, sizes: tuple[int, ...], own: bool) -> DataFrame:
+    """(id, gram) of the distinct n-grams of a column of distinct texts."""
+    named = df.select(F.xxhash64(text).alias("id"), F.col(text).alias("s"))
+    return named.mapInArrow(partial(grams.distinct_grams, sizes=sizes, own=own), "id long, gram long")
 
 
-def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
+def contained_pairs(needles: DataFrame, hays: DataFrame, tile: int = HAYS, tile_pairs: int = TILE_PAIRS) -> DataFrame:
     """(needle, hay): texts of ``needles`` (needle) that stand in texts of ``hays`` (hay).
 
     Both distinct and not empty.  A needle is looked up by its rarest n-gram among the
-    hays (n = 3, or its length), and only those hits are compared.
+    hays (n = 3, or its length), and only those hits are compared.  An n-gram with many
+    hays or needles is cut into tiles of both, so that no task has more than
+    ``tile_pairs`` of its pairs to look at.
     """
-    held = hays.select("hay", F.explode(F.flatten(F.array(*[F.when(F.length("hay") >= n, _grams(F.col("hay"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))).alias("gram"))
+    sizes = tuple(sorted(r[0] for r in needles.select(F.least(F.length("needle"), F.lit(3)).alias("n")).distinct().collect()))  # three at most
+    if not sizes:
+        return needles.select("needle").crossJoin(hays.select("hay").limit(0))
+    held = _gram_rows(hays, "hay", sizes, False)
     counts = held.groupBy("gram").count()
-    size = F.length("needle")
-    own = F.when(size >= 3, _grams(F.col("needle"), 3)).otherwise(F.array("needle"))
-    rarest = needles.select("needle", F.explode(own).alias("gram")).join(counts, "gram").groupBy("needle").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    return rarest.join(held, "gram").where(F.contains("hay", "needle")).select("needle", "hay")
+    own = _gram_rows(needles, "needle", sizes, True)
+    # A needle with an n-gram that no hay has stands in none; such a gram is its rarest.
+    known = own.join(counts, "gram", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    rarest = known.groupBy("id").agg(F.min(F.struct("count", "gram")).alias("r")).where("r.count > 0")
+    left = materialize(rarest.select("r.gram", "r.count", "id").join(needles.select(F.xxhash64("needle").alias("id"), "needle"), "id").drop("id"))
+    wide, tall = F.ceil(F.first("count") / tile).cast("int"), F.ceil(F.count("*") * F.least(F.first("count"), F.lit(tile)) / tile_pairs).cast("int")
+    cut = left.groupBy("gram").agg(F.first("count").alias("count"), wide.alias("wide"), tall.alias("tall"))
+    most = cut.agg(F.max("wide"), F.max("tall"), F.max("count")).first()
+    by, right = ["gram"], held.withColumnRenamed("id", "b")
+    if max(most[0] or 1, most[1] or 1) > 1:
+        cut, by = materialize(cut), ["gram", "i", "j"]
+        salt = lambda column, parts: F.pmod(F.xxhash64(F.lit(5), column), F.col(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        left = salted_join(left.drop("count"), cut, ["gram"]).select("gram", "needle", salt("needle", "tall").alias("i"), every("wide").alias("j"))
+        right = salted_join(right, cut, ["gram"], hot=hot_counts(cut, ["gram"])).select("gram", "b", salt("b", "wide").alias("j"), every("tall").alias("i"))
+    pairs = materialize(left.join(right, by).select("needle", "b"))
+    return salted_join(pairs, hays.select(F.xxhash64("hay").alias("b"), "hay"), ["b"]).where(F.contains("hay", "needle")).select("needle", "hay")
 
 
 def partial_matches(texts: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -93,83 +112,96 @@ def partial_matches(texts: DataFrame, corpus: DataFrame) -> DataFrame:
     return best.select("nq", "b.v", confidence.alias("confidence"))
 
 
-def _bag(text: str) -> list[tuple[str, int]]:
-    """n-grams with their number among equal ones."""
-    seen: Counter = Counter()
-    out = []
-    for i in range(len(text) - GRAM + 1):
-        g = text[i : i + GRAM]
-        out.append((g, seen[g]))
-        seen[g] += 1
-    return out
+#: n-grams that two texts must share among their rarest ones, where they have as many.
+MEETINGS = 4
+#: Characters of a text up to which the n-grams shared are counted length by length.
+SHARED_CHARS = 4096
 
 
-def _gram_key(g: tuple[str, int]) -> int:
-    """A number of an n-gram and its number, the same in every process; two that fall
-    together only add candidates."""
-    return crc32(g[0].encode(), g[1])
+def gram_size(threshold: float) -> int:
+    """The longest n-grams (up to 3) of which texts this similar still share a good part."""
+    return next((n for n in (3, 2) if 1 - n * (1 - threshold) >= 0.3), 1)
 
 
-#: n-grams that two texts must share among their rarest ones, where they have as many.
-MEETINGS = 4
+def _longest(n: int, threshold: float) -> int:
+    """Characters of the longest text that can be similar to one of n."""
+    return int(n / threshold + 1e-9)
+
+
+def least_shared(n: int, size: int, threshold: float) -> int:
+    """n-grams that a text of n characters shares at least with a similar one that is no
+    shorter: each edit spoils ``size`` of the longer one's."""
+    of = lambda m: m - size + 1 - size * int((1 - threshold) * m + 1e-9)
+    if n > SHARED_CHARS and size * (1 - threshold) < 1:  # grows with m, but for one edit's worth
+        return max(of(n) - size, 0)
+    return min(map(of, range(n, _longest(n, threshold) + 1)))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts, threshold: float, left: bool) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], counts, threshold: float, size: int, left: bool) -> Iterator[pa.RecordBatch]:
     """(id, n, meet, key): the necessary rarest n-grams of each text, its length, and how
     many of them a partner shares at least.
 
     A text so short that edits may leave no common n-gram meets its partners by length
-    instead: keys below zero, of one kind for each case of which side is short.
+    instead: keys below zero, of one kind for each case of which side is short.  Only
+    texts of lengths that a short one can be similar to have such keys.
     """
     scaled = counts.value
-    mask = len(scaled) - 1
+    mask = np.uint64(len(scaled) - 1)
+    short = 0  # the longest text that meets by length
+    while min(least_shared(m, size, threshold) for m in range(short + 1, short + 1 + 2 * size + 8)) < 1:
+        short += 1
     by_length = lambda m, kind: -(1 + 3 * m + kind)
-    for batch in batches:
-        ids, sizes, meets, keys = [], [], [], []
-        for i, s in zip(batch.column("id").to_pylist(), batch.column("s").to_pylist()):
-            n, longest = len(s), int(len(s) / threshold + 1e-9)
-            # n-grams that both texts have at least: each edit spoils GRAM of the longer one's.
-            shared = min(m - GRAM + 1 - GRAM * int((1 - threshold) * m + 1e-9) for m in range(n, longest + 1))
-            meet = max(1, min(MEETINGS, shared))
-            if shared < 1:
-                lengths = range(int(np.ceil(threshold * n - 1e-9)), longest + 1)
-                own = [by_length(m, 1 if left else 0) for m in lengths] + ([by_length(n, 2)] if left else [by_length(m, 2) for m in lengths])
+    shared: dict[int, int] = {}
+    for ids, texts in grams.pieces(batches):
+        code, owner, length = grams.packed(texts)
+        for n in np.unique(length).tolist():
+            if n not in shared:
+                shared[n] = least_shared(n, size, threshold) if n else 0
+        share = np.array([shared[n] for n in length.tolist()], np.int64)
+        meet = np.clip(share, 1, MEETINGS)
+        text, key = grams.bags(*grams.gram_hashes(code, owner, size))
+        order = np.lexsort((key, scaled[(key & mask).astype(np.int64)], text))
+        text, key = text[order], key[order]
+        held = np.maximum(length - size + 1, 0)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(held) - held, held)
+        kept = (share[text] >= 1) & (place < (held - share + meet)[text])
+        rows, keys = [text[kept]], [key[kept].view(np.int64)]
+        for k in np.flatnonzero(length <= _longest(short, threshold)).tolist():
+            n = int(length[k])
+            if share[k] >= 1:
+                own = [by_length(n, 0 if left else 1)]
             else:
-                grams = sorted(map(_gram_key, _bag(s)), key=lambda k: (scaled[k & mask], k))
-                own = grams[: len(grams) - shared + meet] + [by_length(n, 0 if left else 1)]
-            ids += [i] * len(own)
-            sizes += [n] * len(own)
-            meets += [meet] * len(own)
-            keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(meets, pa.int32()), pa.array(keys, pa.int64())], names=["id", "n", "meet", "key"])
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """n-gram buckets, counted batch by batch."""
-    for batch in batches:
-        n = Counter(_gram_key(g) & ((1 << bits) - 1) for s in batch.column("s").to_pylist() for g in _bag(s))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["b", "n"])
+                lengths = range(int(np.ceil(threshold * n - 1e-9)), _longest(n, threshold) + 1)
+                own = [by_length(m, 1 if left else 0) for m in lengths] + ([by_length(n, 2)] if left else [by_length(m, 2) for m in lengths])
+            rows.append(np.full(len(own), k))
+            keys.append(np.array(own, np.int64))
+        row = np.concatenate(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[row]), pa.array(length[row].astype(np.int32)), pa.array(meet[row].astype(np.int32)), pa.array(np.concatenate(keys))], names=["id", "n", "meet", "key"]
+        )
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(q, norm, sim): texts of ``left`` (q) and ``right`` (norm), both distinct, whose
-    similarity is at least ``threshold``; nothing is lost.
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, size: int | None = None) -> DataFrame:
+    """(q, norm, sim): texts of ``left`` (q) and ``right`` (norm), both distinct and not
+    empty, whose similarity is at least ``threshold``; nothing is lost.
 
-    Texts within d edits share all but GRAM * d of the longer one's n-grams, so the
-    rarest of them must meet; texts too short for that meet by length.  Candidates are
-    then compared by length and by edit distance with a bound.
+    Texts within d edits share all but d times ``size`` of the longer one's n-grams, so
+    the rarest of them must meet; texts too short for that meet by length.  Candidates
+    are then compared by length and by edit distance with a bound.
     """
+    size = size or gram_size(threshold)
+    if size * (1 - threshold) >= 1:
+        raise ValueError("texts of this similarity need not share any n-gram of this size")
     sc = left.sparkSession.sparkContext
     tasks = tasks_for(left.sparkSession)
-    words = left.select(F.col("q").alias("s")).unionAll(right.select(F.col("norm").alias("s"))).repartition(tasks)
-    counted = words.mapInArrow(partial(_count_grams, bits=GRAM_BITS), "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    named = lambda df, c: df.select(F.xxhash64(c).alias("id"), F.col(c).alias("s")).repartition(tasks, "id")
+    counted = named(left, "q").unionAll(named(right, "norm")).mapInArrow(partial(grams.count_bags, n=size, bits=GRAM_BITS), "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << GRAM_BITS, np.int64)
     table[counted["b"].to_numpy()] = counted["n"].to_numpy()
     counts = sc.broadcast(table)
-    named = lambda df, c: df.select(F.xxhash64(c).alias("id"), F.col(c).alias("s")).repartition(tasks, "id")
 
     def keyed(df: DataFrame, c: str, side: str) -> DataFrame:
-        rows = named(df, c).mapInArrow(partial(_prefixes, counts=counts, threshold=threshold, left=c == "q"), "id long, n int, meet int, key long")
+        rows = named(df, c).mapInArrow(partial(_prefixes, counts=counts, threshold=threshold, size=size, left=c == "q"), "id long, n int, meet int, key long")
         return rows.select("key", *[F.col(x).alias(f"{side}_{x}") for x in ("id", "n", "meet")])
 
     met = keyed(left, "q", "a").join(keyed(right, "norm", "b"), "key").where(F.least("a_n", "b_n") >= F.lit(threshold) * F.greatest("a_n", "b_n") - 1e-9)
@@ -194,14 +226,12 @@ def fuzzy_matches(texts: DataFrame, corpus: DataFrame, opts: ValidatorOptions) -
     if it reaches the threshold; suggestions may lie a tenth below it.
 
     The texts with such a verse are found first; only for them are the weaker
-    candidates compared, among verses of lengths that can pass.
+    candidates looked for, in the same way.
     """
-    known = corpus.select("norm").distinct()
+    known = corpus.select("norm").distinct().where(F.length("norm") > 0)
     asked = texts.where(F.length("nq") > 0).select(F.col("nq").alias("q"))
-    hit = similar_pairs(asked, known.where(F.length("norm") > 0), opts.fuzzy_threshold).select("q").distinct()
-    floor = opts.fuzzy_threshold * 0.9
-    ranged = hit.withColumn("norm_len", F.explode(lengths_within(F.length("q"), floor, longest_text(corpus))))
-    met = with_similarity(costly_join(ranged, known.withColumn("norm_len", F.length("norm")), "norm_len", ["q"]), floor).select("q", "norm", "sim")
+    hit = materialize(similar_pairs(asked, known, opts.fuzzy_threshold).select("q").distinct())
+    met = similar_pairs(hit, known, opts.fuzzy_threshold * 0.9)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "ord"))
     keep = max(opts.max_suggestions, 1)
     top = met.join(corpus.select(*VERSE, "ord", "norm"), "norm").withColumn("rn", rank).where(F.col("rn") <= keep)
@@ -214,6 +244,7 @@ def fuzzy_matches(texts: DataFrame, corpus: DataFrame, opts: ValidatorOptions) -
 def resolve(texts: DataFrame, corpus: DataFrame, opts: ValidatorOptions = ValidatorOptions()) -> DataFrame:
     """Verdicts (q, match_type, confidence, v, suggestions) of ``texts`` (q, distinct and
     stripped) that match some verse of the prepared ``corpus``."""
+    corpus = materialize(corpus)  # normalized once, read by every stage
     gated = texts.where(contains_arabic(F.col("q"))).withColumn("nq", normalize_arabic(F.col("q")))
     exact = exact_verses(corpus).select(F.col("text").alias("q"), F.col("v").alias("exact_v"))
     normal = normalized_verses(corpus, opts.max_suggestions).select(F.col("norm").alias("nq"), F.col("v").alias("normal_v"), "suggestions")

@@ -18,6 +18,7 @@ from quotelens.operators import match
 from quotelens.operators.lookup import verse_ranges
 from quotelens.operators.skew import once, salted_join
 from quotelens.options import TAG_FORMATS, ProcessorOptions, ValidatorOptions
+from quotelens.plans.runtime import materialize
 
 RUN = f"[{A_JAVA}{WS_JAVA}]"
 REF = r"\p{Nd}+:\p{Nd}+(?:-\p{Nd}+)?"
@@ -175,7 +176,7 @@ def process(docs: DataFrame, corpus: DataFrame, opts: ProcessorOptions = Process
     a kept quote.  Corrections replace the first occurrence in the text as it then is.  A
     document without quotes is valid; a null text stays null with no quotes.
     """
-    rows = analyzed(laid_out(docs.select("doc_id", "text").where(F.col("text").isNotNull()), opts), corpus)
+    rows = analyzed(materialize(laid_out(docs.select("doc_id", "text").where(F.col("text").isNotNull()), opts)), corpus)
     quote = F.struct(
         "stage", "n", F.col("text").alias("original"), "corrected", "is_valid", "reference", "confidence",
         F.element_at(F.array(F.lit("tagged"), F.lit("contextual"), F.lit("fuzzy")), F.col("stage") + 1).alias("detection_method"),
@@ -234,7 +235,7 @@ def detect(docs: DataFrame, corpus: DataFrame, opts: ValidatorOptions = Validato
     """(doc_id, text, start, end, verdict columns): every Arabic segment of documents
     (doc_id, text) of at least ``min_detection_length`` characters, matched or not."""
     segments = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(T.arabic_segments(F.col("text"))).alias("s"))
-    long = segments.select("doc_id", "s.text", "s.start", "s.end").where(F.length("text") >= opts.min_detection_length)
+    long = materialize(segments.select("doc_id", "s.text", "s.start", "s.end").where(F.length("text") >= opts.min_detection_length))
     return match.validate(long, corpus, opts, with_differences=False)
 
 

@@ -30,8 +30,13 @@ def hot_buckets(df: DataFrame, keys: list[str], rows_per_part: int = ROWS_PER_PA
     full = [r[0] for r in bucketed.groupBy(SALT).count().where(F.col("count") > rows_per_part).collect()]
     if not full:
         return {}
-    counted = bucketed.where(F.col(SALT).isin(full)).groupBy(SALT, *keys).count().groupBy(SALT).agg(F.max("count").alias("most"))
-    return {b: -(-n // rows_per_part) for b, n in counted.where(F.col("most") > rows_per_part).collect()}
+    return hot_counts(bucketed.where(F.col(SALT).isin(full)).groupBy(SALT, *keys).count(), keys, rows_per_part)
+
+
+def hot_counts(counted: DataFrame, keys: list[str], rows_per_part: int = ROWS_PER_PART) -> dict[int, int]:
+    """As ``hot_buckets``, from a table of each key with its ``count``."""
+    most = counted.where(F.col("count") > rows_per_part).groupBy(_bucket(keys).alias("b")).agg(F.max("count").alias("most"))
+    return {b: -(-n // rows_per_part) for b, n in most.collect()}
 
 
 def parts_of(hot: dict[int, int], keys: list[str]) -> Column:

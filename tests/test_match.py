@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quotelens.operators import lookup, match
+from quotelens.operators.distance import distances, padded
 from quotelens.options import ValidatorOptions
 from quotelens.sources.corpus import prepared
 from tests import spec
@@ -66,6 +68,40 @@ def test_fuzzy_loses_nothing_and_ranks_suggestions(spark):
                 assert [s.confidence for s in got[t].suggestions] == pytest.approx([s for _, s in want])
 
 
+@pytest.mark.parametrize(("tile", "tile_pairs"), [(50_000, 2_000_000), (3, 10)])
+def test_containment_in_tiles(spark, tile, tile_pairs):
+    """One n-gram in more than a third of all texts, on both sides."""
+    r = random.Random(11)
+    hays = sorted({"نور " * r.randint(0, 1) + " ".join(r.choices(WORDS, k=4)) for _ in range(120)} | {"ن", "نو"})
+    needles = sorted({h[a : a + r.randint(1, 9)] for h in hays for a in [r.randrange(len(h))]} | {"نور", "ن", "نو", "ظظظ"})
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((needles, "needle"), (hays, "hay"))]
+    got = [tuple(x) for x in match.contained_pairs(*frames, tile, tile_pairs).collect()]
+    assert sorted(got) == sorted((n, h) for n in needles for h in hays if n in h)
+    assert match.contained_pairs(frames[0].limit(0), frames[1]).count() == match.contained_pairs(frames[0], frames[1].limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.75, 0.5, 0.35])
+def test_similar_pairs_lose_nothing(spark, threshold):
+    r = random.Random(13)
+    left = sorted({"".join(r.choices("ابت ", k=r.randint(1, 14))) for _ in range(60)})
+    right = sorted({"".join(r.choices("ابت ", k=r.randint(1, 14))) for _ in range(60)} | set(left[:9]))
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((left, "q"), (right, "norm"))]
+    got = sorted((x.q, x.norm) for x in match.similar_pairs(*frames, threshold).collect())
+    assert got == sorted((a, b) for a in left for b in right if spec.sim(a, b) >= threshold)
+    with pytest.raises(ValueError):
+        match.similar_pairs(*frames, 0.5, 3)
+
+
+def test_distances_equal_the_statement():
+    r = random.Random(1)
+    for _ in range(40):
+        texts = sorted(("".join(r.choices("abcd😀", k=r.randint(0, 150))) for _ in range(8)), key=len)
+        symbols, sizes = padded(texts)
+        alphabet = np.unique(symbols)
+        p = "".join(r.choices("abcde", k=r.choice([0, 1, 5, 63, 64, 65, 128, 130])))
+        assert distances(p, np.searchsorted(alphabet, symbols), sizes, alphabet).tolist() == [spec.distance(p, t) for t in texts]
+
+
 def test_search_and_empty_corpus(spark):
     rows = verses(30, 3)
     asked = spark.createDataFrame([(1, rows[4][3]), (2, "ظظظظظظظظ"), (3, None)], "qid int, query string")
