@@ -16,7 +16,7 @@ of its own.  Equal sets are compared once.  An exact check of the sets follows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.operators.skew import salted_join
+from quotelens.operators.skew import hot_buckets, salted_join
 from quotelens.plans.runtime import materialize
 
 #: Words are counted in 2**WORD_BITS buckets: the size of the only broadcast, whatever the data.
@@ -208,9 +208,11 @@ def similar_sets(sets: DataFrame, threshold: float, bits: int = WORD_BITS, tile:
     counts = sets.sparkSession.sparkContext.broadcast(word_counts(sets, bits))
     tiles = sets.select("k1", "k2", "words").mapInArrow(partial(_emit_tiles, counts=counts, threshold=threshold, tile=tile), _TILES)
     sorted_tiles = tiles.repartition("token", "ti", "tj").sortWithinPartitions("token", "ti", "tj")
-    near = sorted_tiles.mapInArrow(partial(_compare_tiles, threshold=threshold), _PAIRS).distinct()
+    near = materialize(sorted_tiles.mapInArrow(partial(_compare_tiles, threshold=threshold), _PAIRS).distinct())
     side = lambda s: sets.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("words").alias(f"{s}_words"))
-    both = near.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    # A set with very many neighbours is split on both sides before its words are attached.
+    first = salted_join(near, side("a"), ["a1", "a2"])
+    both = salted_join(first, side("b"), ["b1", "b2"], hot=hot_buckets(near, ["b1", "b2"]))
     common = F.size(F.array_intersect("a_words", "b_words"))
     exact = common >= F.lit(threshold) * (F.size("a_words") + F.size("b_words") - common) - 1e-9
     return both.where(exact).select("a1", "a2", "b1", "b2")
@@ -254,17 +256,41 @@ def near_duplicate_groups(records: DataFrame, threshold: float = 0.7, min_words:
     return salted_join(members.select("rec_id", "k1", "k2"), labelled, ["k1", "k2"]).select("rec_id", "group_id", "n_links")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _each_least(links: DataFrame) -> DataFrame:
+    """(x, least): the smallest of each node ``x`` of ``links`` (x, y) and its neighbours."""
+    return links.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("least"))
+
+
+def components(links: DataFrame, on_round: Callable[[int], None] | None = None) -> DataFrame:
     """(x, label): the smallest node that each node of the symmetric ``links`` (x, y)
-    reaches.  Labels spread over links and are shortened by pointer jumping, so the
-    rounds grow with the logarithm of a chain's length; each round is written once."""
-    labels = materialize(links.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")))
+    reaches.
+
+    Alternating large stars (every larger neighbour is hooked to the smallest) and small
+    stars (every smaller one, and the node itself), after Kiveris et al. 2014: the rounds
+    grow with the square of the logarithm of the nodes at most, in practice with the
+    logarithm, whatever the order of ids along a chain.  Each round is written once
+    and read from there; the joins are salted, since a component's smallest node
+    comes to be the neighbour of all others.  ``on_round`` is told each round's number.
+    """
+    edges = materialize(links.where(F.col("x") > F.col("y")).select("x", "y").distinct())
+    rounds = 0
     while True:
-        over = links.join(labels.select(F.col("x").alias("y"), F.col("label").alias("l")), "y").groupBy("x").agg(F.min("l").alias("near"))
-        jump = labels.select(F.col("x").alias("label"), F.col("label").alias("beyond"))
-        grown = labels.join(over, "x").join(jump, "label", "left")
-        new = materialize(grown.select("x", "label", F.least("label", "near", F.coalesce("beyond", "label")).alias("new")))
-        moved = new.where(F.col("new") < F.col("label")).limit(1).count()
-        labels = new.select("x", F.col("new").alias("label"))
-        if not moved:
-            return labels
+        rounds += 1
+        if on_round:
+            on_round(rounds)
+        both = edges.unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        hot = hot_buckets(both, ["x"])
+        large = salted_join(both, _each_least(both), ["x"], hot=hot).where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("least").alias("y"))
+        down = materialize(large.distinct())
+        joined = salted_join(down, _each_least(down), ["x"])
+        hooked = F.array(F.struct("x", F.col("least").alias("y")), F.struct(F.col("y").alias("x"), F.col("least").alias("y")))
+        small = joined.select(F.explode(hooked).alias("e")).select("e.x", "e.y").where(F.col("x") > F.col("y"))
+        new = materialize(small.distinct())
+        # Stars at last: nothing that is hooked to another node has one hooked to it.
+        still = new.join(new.select(F.col("y").alias("x")).distinct(), "x", "left_semi").limit(1).count() or new.groupBy("x").count().where("count > 1").limit(1).count()
+        edges = new
+        if not still:
+            break
+    own = edges.select(F.col("y").alias("x"), F.col("y").alias("label")).distinct()
+    alone = links.select("x").distinct().join(edges.select("x").unionAll(edges.select("y")), "x", "left_anti").select("x", F.col("x").alias("label"))
+    return edges.select("x", F.col("y").alias("label")).unionAll(own).unionAll(alone)

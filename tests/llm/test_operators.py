@@ -76,6 +76,29 @@ def test_near_duplicate_groups(spark):
     assert got == {i: (root(i), links[i]) for i, t in rows if len(set(t.split())) >= 8}
 
 
+def _chains(n):
+    """The chain 2, 3, .., n+1, 1 and one over random ids: both are long paths."""
+    r = random.Random(2)
+    ids = r.sample(range(10_000, 90_000), n)
+    return [*zip(range(2, n + 1), range(3, n + 2), strict=True), (n + 1, 1), *zip(ids, ids[1:])], ids
+
+
+def test_components_of_long_chains_and_a_hub(spark, monkeypatch):
+    from quotelens.operators import skew
+
+    n = 1500
+    links, ids = _chains(n)
+    hub = [(100_000 + k, 99_999) for k in range(1000)]  # a third of all nodes on one
+    rows = [(a, b) for a, b in links + hub] + [(b, a) for a, b in links + hub] + [(7_000_000, 7_000_000)]
+    monkeypatch.setattr(skew.salted_join, "__defaults__", ("inner", 100, None))
+    monkeypatch.setattr(skew.hot_buckets, "__defaults__", (100,))
+    rounds = []
+    got = {r.x: r.label for r in near_duplicates.components(spark.createDataFrame(rows, "x long, y long"), rounds.append).collect()}
+    want = dict.fromkeys(range(1, n + 2), 1) | dict.fromkeys(ids, min(ids)) | {a: 99_999 for a, _ in hub} | {99_999: 99_999, 7_000_000: 7_000_000}
+    assert got == want
+    assert len(rounds) <= 16
+
+
 @pytest.mark.parametrize("how", [{}, {"places": 2, "shard_chars": 200, "k": 5}, {"k": 11}])
 def test_shared_spans(spark, how):
     r = random.Random(3)
