@@ -33,10 +33,13 @@ from quotelens.chars import BLANKS
 # letter of the Latin alphabet (key: look-alikes, value: the ordinary letters).
 LATIN_LOOKALIKES = (
     ("аеорсухіјѕһӏԁԛԝѵ", "aeopcyxijshldqwv"),  # Cyrillic small
-    ("АВЕКМНОРСТХЅІЈУԌԚԜ", "ABEKMHOPCTXSIJYGQW"),  # Cyrillic capital
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capital
-    ("οινϲϳ", "oivcj"),  # Greek small
-    ("ոսօզհյցԼՍՕ", "nuoqhjgLUO"),  # Armenian
+    ("АВЕКМНОРСТХЅІЈУԌԚԜӀѴ", "ABEKMHOPCTXSIJYGQWIV"),  # Cyrillic capital
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek capital
+    ("οινρϲϳ", "oivpcj"),  # Greek small
+    ("ոսօզհյցԼՍՕՏ", "nuoqhjgLUOS"),  # Armenian
+    ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᏀᎡ", "ABCDEHJKLMPSTVWZGR"),  # Cherokee
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+    ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm"),  # Roman numerals of one letter
     ("ɑɡɩıƖ", "agiil"),  # Latin letters of other shape
 )
 
@@ -44,7 +47,7 @@ LATIN_LOOKALIKES = (
 # standard alphabet wherever they stand.
 ARABIC_LOOKALIKES = (
     ("کڪ", "كك"),
-    ("ھہەۀ", "هههه"),
+    ("ھہە", "ههه"),
     ("ٮ", "ٮ"),
     ("۰۱۲۳۷۸۹", "٠١٢٣٧٨٩"),
 )
@@ -56,6 +59,9 @@ POSITIONAL = {"ی": ("ي", "ى"), "ں": ("ن", "ں"), "ې": ("ې", "ې")}
 # Ordinary characters for dashes, quotes and dots of the same look.
 SIGN_LOOKALIKES = (("‐‑", "--"), ("ʼ", "’"), ("٬", "،"))
 
+# Conjoining Hangul letters that join the syllable before them: vowels and final consonants.
+_HANGUL_LATER = (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))
+
 # Compatibility decompositions that do not change the look of a character.
 _SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
@@ -95,7 +101,7 @@ def _tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
     characters whose look depends on their place; built once a process."""
     mapped: dict[int, str] = {}
     marks: list[int] = []
-    later: set[int] = set()  # later parts of canonical compositions: NFC_QC is Maybe
+    later: set[int] = set(_HANGUL_LATER)  # later parts of canonical compositions: NFC_QC is Maybe
     for cp in [*_plane(), *range(0x1D400, 0x1D800)]:
         ch = chr(cp)
         if unicodedata.combining(ch) and cp < 0x10000:
@@ -109,7 +115,8 @@ def _tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
             continue
         parts = unicodedata.decomposition(ch).split(" ")
         if parts[0] in _SAME_LOOK or 0xFB00 <= cp <= 0xFB06:
-            new = unicodedata.normalize("NFKC", ch)
+            # Narrow Hangul letters stand alone and form no syllable.
+            new = chr(int(parts[1], 16)) if parts[0] == "<narrow>" and 0xFFA1 <= cp <= 0xFFDC else unicodedata.normalize("NFKC", ch)
             if len(new) > 1 and new[0] == " ":  # a mark drawn alone
                 new = new.strip(" ")
             mapped[cp] = new
@@ -121,6 +128,10 @@ def _tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
     for pairs in (LATIN_LOOKALIKES, ARABIC_LOOKALIKES, SIGN_LOOKALIKES):
         for alike, plain in pairs:
             mapped.update({ord(a): b for a, b in zip(alike, plain, strict=True) if a != b})
+    for cp in _plane():  # letters with accents look like the ordinary letter with them
+        base, *accents = unicodedata.normalize("NFD", chr(cp))
+        if accents and ord(base) in mapped and cp not in mapped:
+            mapped[cp] = unicodedata.normalize("NFC", mapped[ord(base)] + "".join(accents))
     # A mapped value may hold further look-alikes (a full form of a foreign letter).
     for cp, new in list(mapped.items()):
         mapped[cp] = "".join(mapped.get(ord(c), c) for c in new)

@@ -57,3 +57,21 @@ def test_pairs(spark):
 def test_column_form(spark):
     df = spark.createDataFrame([(1, "کa"), (2, None)], "k int, t string")
     assert [r[0] for r in df.orderBy("k").select(H.house_form_col(F.col("t"))).collect()] == ["كa", None]
+
+
+def test_decomposed_spelling_equals_composed():
+    """Of every composed character of the basic plane, Hangul syllables among them."""
+    for cp in [*range(0xD800), *range(0xE000, 0x10000)]:
+        c = chr(cp)
+        parts = unicodedata.normalize("NFD", c)
+        if parts != c:
+            want = H.house_form(c)
+            assert H.house_form(parts) == want == H.house_form(unicodedata.normalize("NFC", c)), hex(cp)
+            assert H.house_form(f"1{parts}1") == H.house_form(f"1{c}1"), hex(cp)
+    word = "한국어 각 말"
+    assert H.house_form(unicodedata.normalize("NFD", word)) == H.house_form(word) == word
+
+
+def test_accented_look_alikes():
+    for given_, want in [("ёж", "ëж"), ("Ї", "Ï"), ("Ά", "Á"), ("ό", "ó"), ("ꓮꓐ", "AB"), ("Ⅳ", "Ⅳ"), ("Ⅹ", "X")]:
+        assert H.house_form(given_) == want
