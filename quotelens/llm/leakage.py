@@ -9,7 +9,10 @@ them are runs of shingles that occur in items, long enough to hold a window (len
 bound).  Runs and windows meet on the rarest shingle; its place in both fixes where
 the window would begin (positional bound), and the whole window is compared there.
 
-Held-out items are taken in blocks of bounded size, so what is broadcast does not grow.
+A shingle is a 64-bit number made of its words' 64-bit hashes.  The scan knows the items'
+shingles from a bitmap of fixed size, however many items there are (a bit set by chance
+only keeps a run that finds no window); items never pass through the driver.  Whole
+windows are compared by all their shingles, which cover every word several times.
 """
 
 from __future__ import annotations
@@ -21,22 +24,26 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.chars import BLANKS
 from quotelens.llm.house_form import is_invisible
-from quotelens.operators.skew import union_all
+from quotelens.operators.skew import salted_join
 from quotelens.plans.runtime import materialize
 
 SHINGLE = 5
-#: Characters of item text that are held at once; more items are taken in more blocks.
-BLOCK_CHARS = 1_000_000
+#: Bits of the map of the items' shingles, the only thing that is broadcast (8 MB).
+FILTER_BITS = 26
+#: Words of a process's table before it is built anew.
+CACHE_WORDS = 1_000_000
 
 _HIDDEN = re.compile("[" + "".join(f"\\u{c:04x}" for c in range(0x10000) if not 0xD800 <= c < 0xE000 and chr(c) not in BLANKS and is_invisible(chr(c))) + "]")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑⁃][^\S\n]*\n\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
-_RUNS = "row long, shingles array<int>"
+_RUNS = "row long, shingles array<long>"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
@@ -54,91 +61,95 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-class Items:
-    """Words and shingles of one block of items, numbered."""
-
-    def __init__(self, items: list[tuple[int, str]], min_words: int):
-        self.words: dict[str, int] = {}
-        self.min_words = min_words
-        number: dict[tuple, int] = {}
-        self.windows: dict[tuple, list[int]] = {}
-        for item, text in items:
-            w = [self.words.setdefault(x, len(self.words) + 1) for x in words_of(text)]
-            own = [number.setdefault(tuple(w[i : i + SHINGLE]), len(number)) for i in range(len(w) - SHINGLE + 1)]
-            size = min_words - SHINGLE + 1
-            for i in range(len(own) - size + 1):
-                self.windows.setdefault(tuple(own[i : i + size]), []).append(item)
-        # A shingle is found by a hash of its word numbers and then compared with them.
-        self.base = len(self.words) + 1
-        table = np.array(list(number), np.int64).reshape(-1, SHINGLE)
-        codes = self.code(table.T)
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.ids, self.table = codes[order], order.astype(np.int32), table[order]
-
-    @staticmethod
-    def code(columns: np.ndarray) -> np.ndarray:
-        """A 64-bit number of five word numbers."""
-        out = np.zeros(columns.shape[1], np.uint64)
-        for c in columns:
-            out = (out ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out
-
-    def shingles(self, w: np.ndarray) -> np.ndarray:
-        """For each place of ``w`` the number of the shingle that begins there, or -1."""
-        n = len(w) - SHINGLE + 1
-        out = np.full(max(n, 0), -1, np.int32)
-        if n <= 0 or not len(self.codes):
-            return out
-        known = np.concatenate([[0], np.cumsum(w > 0)])
-        at = np.flatnonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE)
-        columns = np.stack([w[at + k] for k in range(SHINGLE)])
-        codes = self.code(columns)
-        lo = np.searchsorted(self.codes, codes)
-        lo[lo == len(self.codes)] = 0
-        hit = self.codes[lo] == codes
-        hit[hit] = (self.table[lo[hit]] == columns[:, hit].T).all(1)
-        out[at[hit]] = self.ids[lo[hit]]
-        return out
-
-
-def _scan(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
-    """The runs of item shingles of each document that can hold a window."""
-    block = items.value
-    get, least = block.words.get, block.min_words - SHINGLE + 1
+class _Hashes(dict):
+    """Word -> 64-bit hash, the same in every process."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingles_of(words: np.ndarray) -> np.ndarray:
+    """The shingle that begins at each place of the word hashes."""
+    n = len(words) - SHINGLE + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(SHINGLE if n > 0 else 0):
+        out = (out ^ words[k : k + n]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(rows, word hashes) of texts (row, text) of at least ``least`` words, batch by batch."""
+    known = _Hashes()
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
-            rows, flat = [], []
+            if len(known) > CACHE_WORDS:
+                known = _Hashes()
+            rows, words = [], []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                if not text:
-                    continue
-                words = words_of(text)
-                if len(words) < block.min_words:
-                    continue
-                s = block.shingles(np.fromiter((get(x, 0) for x in words), np.int64, len(words)))
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], (s >= 0).view(np.int8), [0]])))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    if b - a >= least:
-                        rows.append(row)
-                        flat.append(s[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(flat, pa.list_(pa.int32()))], names=["row", "shingles"])
-
-
-def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, block by block, each of bounded size; copies of a row come once."""
-    held, chars = [], 0
-    for r in items.toLocalIterator():
-        held.append((r[0], r[1]))
-        chars += len(r[1])
-        if chars >= block_chars:
-            yield held
-            held, chars = [], 0
-    if held:
-        yield held
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 16, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                if text and len(w := words_of(text)) >= least:
+                    rows.append(row)
+                    words.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
+            yield rows, words
+
+
+def _place(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each shingle in a map of 2**bits."""
+    return ((shingles * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _emit(rows: list[int], runs: list[np.ndarray]) -> pa.RecordBatch:
+    flat = [r.view(np.int64) for r in runs]
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(flat, pa.list_(pa.int64()))], names=["row", "shingles"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The windows of each item, as its shingles."""
+    size = min_words - SHINGLE + 1
+    for rows, words in _texts(batches, min_words):
+        own, found = [], []
+        for row, w in zip(rows, words):
+            each = np.lib.stride_tricks.sliding_window_view(shingles_of(w), size)
+            own += [row] * len(each)
+            found += list(np.ascontiguousarray(each))
+        yield _emit(own, found)
+
+
+def _bit_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(w, b): the 64-bit words of the map in which the shingles set bits."""
+    for batch in batches:
+        at = np.unique(_place(batch.column("shingle").to_numpy().view(np.uint64), bits))
+        first = np.flatnonzero(np.r_[True, (at[1:] >> 6) != (at[:-1] >> 6)]) if len(at) else np.empty(0, np.int64)
+        each = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.empty(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array((at[first] >> 6).astype(np.int32)), pa.array(each.view(np.int64))], names=["w", "b"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], filled, bits: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """The runs of item shingles of each document that can hold a window."""
+    held, least = filled.value, min_words - SHINGLE + 1
+    for rows, words in _texts(batches, min_words):
+        own, found = [], []
+        if words:
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            ends = np.cumsum(sizes)
+            s = shingles_of(np.concatenate(words))
+            at = _place(s, bits)
+            hit = (held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            # A shingle over the border of two documents is none.
+            for k in range(1, SHINGLE):
+                hit[ends[:-1] - k] = 0
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int64), [0]])))
+            a, b = edge[::2], edge[1::2]
+            long = b - a >= least
+            for x, y, d in zip(a[long].tolist(), b[long].tolist(), np.searchsorted(ends, a[long], side="right").tolist()):
+                own.append(rows[d])
+                found.append(s[x:y])
+        yield _emit(own, found)
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 16, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id): at least ``min_words`` words in a row of the item stand in a
     row in the document.
 
@@ -148,30 +159,27 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 16, bl
     """
     if min_words < SHINGLE:
         raise ValueError(f"min_words must be at least {SHINGLE}")
-    spark = documents.sparkSession
-    docs = documents.where(F.length("text") >= 2 * min_words - 1).select(F.col("doc_id").cast("bigint").alias("row"), "text")
-    kept = items.where(F.col("item_text").isNotNull()).select(F.col("item_id"), "item_text").distinct()
+    if not 6 <= filter_bits <= 32:
+        raise ValueError("filter_bits must be from 6 to 32")
     size = min_words - SHINGLE + 1
-    found = []
-    for rows in _blocks(kept, block_chars):
-        block = Items(rows, min_words)
-        if not block.windows:
-            continue
-        runs = materialize(docs.mapInArrow(partial(_scan, items=spark.sparkContext.broadcast(block)), _RUNS))
-        # Runs that hold each shingle, over all documents; as many rows as the block has shingles, at most.
-        counted = runs.select(F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").count().toArrow()
-        rarity = np.zeros(len(block.codes), np.int64)
-        rarity[counted["shingle"].to_numpy()] = counted["count"].to_numpy()
-        shingles = np.array(list(block.windows), np.int64)
-        place = np.lexsort((np.arange(size)[None, :].repeat(len(shingles), 0), shingles, rarity[shingles]), axis=1)[:, 0]
-        there = rarity[shingles].min(axis=1) > 0  # a window with a shingle of no document is nowhere
-        rare = [(int(w[p]), int(p), w.tolist(), who) for w, p, who, ok in zip(shingles, place, block.windows.values(), there) if ok]
-        windows = spark.createDataFrame(rare, "shingle int, place int, window array<int>, item_ids array<long>")
-        begins = F.posexplode("shingles").alias("at", "shingle")
-        met = runs.select("row", "shingles", begins).join(F.broadcast(windows), "shingle")
-        start = F.col("at") - F.col("place")
-        fits = met.where((start >= 0) & (start + size <= F.size("shingles"))).where(F.slice("shingles", start + 1, size) == F.col("window"))
-        found.append(fits.select(F.col("row").alias("doc_id"), F.explode("item_ids").alias("item_id")).distinct())
-    if not found:
-        return documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).limit(0).withColumn("item_id", F.lit(None).cast("long")).select("doc_id", F.col("item_id").cast(items.schema["item_id"].dataType))
-    return union_all(found).distinct().select("doc_id", F.col("item_id").cast(items.schema["item_id"].dataType))
+    named = lambda df, key, text: df.where(F.col(text) != "").select(F.col(key).cast("bigint").alias("row"), F.col(text).alias("text"))
+    kept = named(items, "item_id", "item_text").mapInArrow(partial(_windows, min_words=min_words), _RUNS)
+    windows = materialize(kept.select(F.col("shingles").alias("window"), F.col("row").alias("item_id")).distinct())
+    known = windows.select(F.explode("window").alias("shingle")).distinct()
+    filled = np.zeros(1 << (filter_bits - 6), np.uint64)
+    parts = known.mapInArrow(partial(_bit_words, bits=filter_bits), "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most the map
+    filled[parts["w"].to_numpy()] = parts["b"].to_numpy().view(np.uint64)
+    shared = documents.sparkSession.sparkContext.broadcast(filled)
+    runs = materialize(named(documents, "doc_id", "text").mapInArrow(partial(_scan, filled=shared, bits=filter_bits, min_words=min_words), _RUNS))
+    # Runs that hold each shingle of an item, over all documents.
+    counted = runs.select(F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").count()
+    placed = windows.select("window").distinct().select("window", F.posexplode("window").alias("place", "shingle")).join(counted, "shingle", "left")
+    rarest = placed.groupBy("window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "shingle", "place")).alias("r"))
+    # A window with a shingle of no document is nowhere.
+    wanted = materialize(rarest.where("r.n > 0").select("window", "r.shingle", "r.place"))
+    begins = materialize(runs.select("row", "shingles", F.posexplode("shingles").alias("at", "shingle")).join(wanted.select("shingle").distinct(), "shingle", "left_semi"))
+    start = F.col("at") - F.col("place")
+    met = salted_join(begins, wanted, ["shingle"]).where((start >= 0) & (start + size <= F.size("shingles")))
+    fits = met.where(F.slice("shingles", start + 1, size) == F.col("window")).select("row", "window").distinct()
+    found = fits.join(windows, "window").select(F.col("row").alias("doc_id"), F.col("item_id").cast(items.schema["item_id"].dataType).alias("item_id"))
+    return found.distinct()

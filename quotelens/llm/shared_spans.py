@@ -8,8 +8,11 @@ Searching every shard for every record would be quadratic, so texts are cut at a
 k-mers with the least hash in some window.  Every stretch of ``least`` characters holds
 an anchor, and equal stretches the same one, so a shard that indexes the surroundings
 of an anchor's places finds every match across it.  An anchor's surroundings all go to
-one shard; those of an anchor with very many places are spread over several shards and
-searched for in each.  Equal records are indexed once.
+one shard.  An anchor with very many places is refined: its key becomes each stretch of
+``least`` characters around it, of which a match holds at least one.  Of a refined key's
+places only two, of the smallest and the largest document, are indexed; all search, spread
+over as many shards as there are places for, so that the work grows with the places and
+not with their square.  Equal records are indexed once.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelens.llm.fm_index import FMIndex
-from quotelens.operators.skew import BUCKETS, hot_buckets, salted_join
+from quotelens.operators.skew import hot_buckets, parts_of, salted_join
 from quotelens.plans.runtime import materialize
 
 #: Characters of an anchor, and surroundings that one index takes.
 ANCHOR, SHARD_CHARS = 20, 1_500_000
-#: Places of one anchor in a shard; more are spread over several shards.
+#: Places of one key in a shard, whatever the data; an anchor with more is refined.
 PLACES = 20_000
 #: Characters of texts whose anchors are looked for at once.
 SCAN_CHARS = 4_000_000
@@ -75,8 +78,9 @@ def find_anchors(code: np.ndarray, owner: np.ndarray, least: int, k: int) -> tup
     return at, h[at].view(np.int64)
 
 
-def _emit_anchors(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor: hash, document, its length, where the surroundings start, they."""
+def _emit_anchors(batches: Iterator[pa.RecordBatch], least: int, k: int, bare: bool = False) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor: hash, document, its length, where the surroundings start,
+    they; only the hash if ``bare``."""
     margin = least - k
 
     def rows(docs: list[int], texts: list[str]) -> pa.RecordBatch:
@@ -85,6 +89,8 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iter
         first = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(texts)), sizes)
         at, h = find_anchors(code, owner, least, k)
+        if bare:
+            return pa.RecordBatch.from_arrays([pa.array(h)], names=["anchor"])
         o = owner[at]
         inner = at - first[o]
         start = np.maximum(inner - margin, 0)
@@ -112,7 +118,7 @@ def _search_shard(t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     """Shared stretches of one shard's surroundings, in the places of their documents."""
     anchor, tile = t.column("anchor").to_numpy(), t.column("tile").to_numpy()
     doc, start, size = t.column("doc").to_numpy(), t.column("start").to_numpy().astype(np.int64), t.column("n_chars").to_numpy()
-    indexed = t.column("indexed").to_numpy(zero_copy_only=False)
+    indexed, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("indexed", "asks"))
     new = np.r_[True, (anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1])]
     group = np.cumsum(new) - 1
     # Places of an anchor that only one document has match nothing across it.
@@ -135,6 +141,8 @@ def _search_shard(t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     if not len(held):
         return
     index = FMIndex([code[i] for i in held], owner[held])
+    asking = asks[row]
+    row, kind = row[asking], kind[asking]
     # Copies of one text by one document ask once.
     asked = np.unique(np.stack([kind, doc[row]]), axis=1)
     back = {pair: n for n, pair in enumerate(map(tuple, asked.T.tolist()))}
@@ -180,13 +188,27 @@ def shared_stretches(docs: DataFrame, least: int = 50, k: int = ANCHOR, places:
     stretch may come more than once or in overlapping pieces."""
     if not 0 < k < least:
         raise ValueError("an anchor must be shorter than the stretches looked for")
-    anchors = docs.where(F.length("text") >= least).mapInArrow(partial(_emit_anchors, least=least, k=k), _ANCHORS)
-    hot = hot_buckets(anchors, ["anchor"], places)
-    rows = anchors.withColumn("tile", F.lit(0)).withColumn("indexed", F.lit(True))
+    long = docs.where(F.length("text") >= least)
+    anchors = long.mapInArrow(partial(_emit_anchors, least=least, k=k), _ANCHORS)
+    hot = hot_buckets(long.mapInArrow(partial(_emit_anchors, least=least, k=k, bare=True), "anchor long"), ["anchor"], places)
+    plain = (F.lit(0).alias("tile"), F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
+    columns = ("anchor", "doc", "n_chars", "start", "around")
+    rows = anchors.select(*columns, *plain)
     if hot:
-        parts = F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[F.pmod(F.xxhash64("anchor"), F.lit(BUCKETS)).cast("int")], F.lit(1))
-        own = F.pmod(F.xxhash64("doc", "start"), parts).cast("int")
-        rows = anchors.withColumn("tile", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("indexed", F.col("tile") == own)
+        often = parts_of(hot, ["anchor"]) > 1
+        at = F.explode(F.sequence(F.lit(0), F.length("around") - least)).alias("at")
+        windows = anchors.where(often).select("doc", "n_chars", "start", "around", at)
+        stretch = F.substring("around", F.col("at") + 1, F.lit(least))
+        # One row for each place of a stretch, however many anchors it holds.
+        fine = materialize(windows.select(F.xxhash64(F.lit(3), stretch).alias("anchor"), "doc", "n_chars", (F.col("start") + F.col("at")).alias("start"), stretch.alias("around")).distinct())
+        split = hot_buckets(fine, ["anchor"], places)
+        own = F.pmod(F.xxhash64("doc", "start"), parts_of(split, ["anchor"])).cast("int")
+        ends = fine.groupBy("anchor", "around").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+        every = F.explode(F.sequence(F.lit(0), parts_of(split, ["anchor"]) - 1)).alias("tile")
+        held = ends.select("anchor", "around", F.explode(F.array("lo", "hi")).alias("doc")).select("*", every)
+        known = held.select("anchor", "doc", F.lit(least).alias("n_chars"), F.lit(0).alias("start"), "around", "tile", F.lit(True).alias("indexed"), F.lit(False).alias("asks"))
+        asking = fine.select(*columns, own.alias("tile"), F.lit(False).alias("indexed"), F.lit(True).alias("asks"))
+        rows = anchors.where(~often).select(*columns, *plain).unionByName(known).unionByName(asking)
     shards = rows.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
     return shards.mapInArrow(partial(_search, least=least, shard_chars=shard_chars), _SPANS)
 

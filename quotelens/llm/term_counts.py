@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import contextlib
 import os
-import re
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -35,32 +34,26 @@ _PARTIAL = pa.schema([("field", pa.string()), ("term", pa.string()), ("n_occurre
 
 
 @contextlib.contextmanager
-def _duck(spill: str | None):
+def _duck(spill: str):
     """A DuckDB connection that spills into a folder of its own below ``spill``, which is
     removed when the task is done."""
     import duckdb
 
-    # Without a mounted shared folder: where Spark itself spills on this executor.
-    scratch = os.environ.get("SPARK_EXECUTOR_DIRS") or os.environ.get("LOCAL_DIRS") or os.environ.get("SPARK_LOCAL_DIRS")
-    spill, root = spill or scratch and re.split("[,:]", scratch)[0], None
-    if spill:
-        os.makedirs(spill, exist_ok=True)
-        root = tempfile.mkdtemp(prefix="terms-", dir=spill)
+    os.makedirs(spill, exist_ok=True)
+    root = tempfile.mkdtemp(prefix="terms-", dir=spill)
     con = duckdb.connect()
     try:
         con.execute("SET threads=1")
         con.execute("SET preserve_insertion_order=false")
-        if root:
-            con.execute(f"SET memory_limit='{MEMORY}'")
-            con.execute(f"SET temp_directory='{root}'")
+        con.execute(f"SET memory_limit='{MEMORY}'")
+        con.execute(f"SET temp_directory='{root}'")
         yield con
     finally:
         con.close()
-        if root:
-            shutil.rmtree(root, ignore_errors=True)
+        shutil.rmtree(root, ignore_errors=True)
 
 
-def _split_terms(batches: Iterator[pa.RecordBatch], spill: str | None) -> Iterator[pa.RecordBatch]:
+def _split_terms(batches: Iterator[pa.RecordBatch], spill: str) -> Iterator[pa.RecordBatch]:
     """Partial counts of one task's records; the record total comes as a null term."""
     with _duck(spill) as con:
         pending, chars = [], 0
@@ -97,18 +90,20 @@ def _sum_run(con, run: str, rows: int, bit: int, run_rows: int) -> Iterator[pa.R
         yield from _stream(con, f"SELECT field, term, sum(n_occurrences)::BIGINT AS n_occurrences, sum(n_records)::BIGINT AS n_records FROM {run} GROUP BY field, term")
         con.execute(f"DROP TABLE {run}")
         return
-    sizes = {}
-    for part in range(1 << SPLIT_BITS):
-        name = f"{run}_{part}"
-        where = f"((hash(field, term) >> {bit}) & {(1 << SPLIT_BITS) - 1}) = {part}"
-        con.execute(f"CREATE TEMP TABLE {name} AS SELECT field, term, sum(n_occurrences)::BIGINT AS n_occurrences, sum(n_records)::BIGINT AS n_records FROM {run} WHERE {where} GROUP BY field, term")
-        sizes[name] = con.execute(f"SELECT count(*) FROM {name}").fetchall()[0][0]
+    part = f"((hash(field, term) >> {bit}) & {(1 << SPLIT_BITS) - 1})"
+    # Sorted by part once, so that each part is a stretch of the table and not a scan of it.
+    con.execute(f"CREATE TEMP TABLE {run}_all AS SELECT {part} AS part, * FROM {run} ORDER BY part")
     con.execute(f"DROP TABLE {run}")
+    sizes = {}
+    for (k,) in con.execute(f"SELECT DISTINCT part FROM {run}_all").fetchall():
+        con.execute(f"CREATE TEMP TABLE {run}_{k} AS SELECT field, term, sum(n_occurrences)::BIGINT AS n_occurrences, sum(n_records)::BIGINT AS n_records FROM {run}_all WHERE part = {k} GROUP BY field, term")
+        sizes[f"{run}_{k}"] = con.execute(f"SELECT count(*) FROM {run}_{k}").fetchall()[0][0]
+    con.execute(f"DROP TABLE {run}_all")
     for name, n in sizes.items():
         yield from _sum_run(con, name, n, bit + SPLIT_BITS, run_rows if n < rows else n)
 
 
-def _merge_counts(batches: Iterator[pa.RecordBatch], spill: str | None, run_rows: int) -> Iterator[pa.RecordBatch]:
+def _merge_counts(batches: Iterator[pa.RecordBatch], spill: str, run_rows: int) -> Iterator[pa.RecordBatch]:
     """Final counts of one hash partition."""
     with _duck(spill) as con:
         rows = 0
@@ -122,22 +117,25 @@ def _merge_counts(batches: Iterator[pa.RecordBatch], spill: str | None, run_rows
             yield from _sum_run(con, "run", rows, 0, run_rows)
 
 
-def _spill_dir(df: DataFrame) -> str | None:
-    """Where DuckDB may spill: below the shared folder, where that is a mounted path."""
+def _spill_dir(df: DataFrame) -> str:
+    """Where DuckDB may spill: below the shared folder, which must be a mounted path."""
     path = shared_dir(df.sparkSession)
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    return f"{path}/duckdb-spill" if path.startswith("/") else None
+    if not path.startswith("/"):
+        raise ValueError(f"DuckDB can't spill into {path}: give a mounted path as ``spill``")
+    return f"{path}/duckdb-spill"
 
 
-def count_terms(records: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def count_terms(records: DataFrame, run_rows: int = RUN_ROWS, spill: str | None = None) -> DataFrame:
     """Counts (field, term, n_occurrences, n_records) of ``records`` (field, rec_id, plain).
 
     Each (field, rec_id) must come once.  A row with a null term holds the field's
     number of records.  Null and empty texts are no records; repeated terms within a
-    record count as occurrences, not as records.
+    record count as occurrences, not as records.  ``spill``: a folder that all executors
+    mount, where the shared folder is none.
     """
-    spill = _spill_dir(records)
+    spill = spill or _spill_dir(records)
     held = records.where(F.col("plain") != "").select("field", "rec_id", "plain")
     partials = held.mapInArrow(partial(_split_terms, spill=spill), _COUNTS)
     hashed = partials.repartition(F.shiftrightunsigned(F.xxhash64("field", "term"), 40))

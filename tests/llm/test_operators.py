@@ -120,6 +120,25 @@ def test_shared_spans(spark, how):
     assert shared_spans.shared_shares(df.limit(0), least, k=5).count() == 0
 
 
+def test_an_anchor_in_a_third_of_all_records(spark):
+    """Its places are refined; the rows that search stay as many as the places."""
+    r = random.Random(6)
+    filler = lambda n: "".join(r.choices("abcdefgh", k=n))
+    rows = [(i, filler(r.randint(0, 20)) + "the quick brown fox jumps" + filler(r.randint(0, 20))) for i in range(60)] + [(100 + i, filler(60)) for i in range(100)]
+    rows += [(300 + i, filler(i % 9) + "over the quick brown fox jumps high" + filler(i % 7)) for i in range(40)] + [(500, "quick brown " * 12), (501, "quick brown " * 9)]
+    least, cover = 12, {}
+    for i, t in rows:
+        places = set()
+        for k in range(len(t) - least + 1):
+            if any(t[k : k + least] in u for j, u in rows if j != i):
+                places.update(range(k, k + least))
+        cover[i] = (len(t), len(places))
+    df = spark.createDataFrame(rows, "rec_id long, text string")
+    for places in (20_000, 30, 3):
+        got = {x.rec_id: (x.n_chars, x.shared_chars) for x in shared_spans.shared_shares(df, least, k=7, places=places).collect()}
+        assert got == cover
+
+
 def test_packing(spark):
     r = random.Random(5)
     sizes = [r.choice([1, 7, 30, 30, 30, 55, 99, 100, 101, 250, 0, -3]) for _ in range(500)] + [None]
@@ -175,9 +194,12 @@ def test_leaks(spark):
     ]
     items = [(1, ITEM), (2, " ".join(w[1:] + ["nineteen"])), (3, "short item"), (4, None), (1, ITEM)]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, item_text string")
-    for block in (1_000_000, 1):
-        got = {tuple(r) for r in leakage.leaked_items(d, i, block_chars=block).collect()}
+    for bits in (26, 6):  # the smallest map is full of bits
+        got = {tuple(r) for r in leakage.leaked_items(d, i, filter_bits=bits).collect()}
         assert got == {(1, 1), (3, 1), (3, 2), (4, 1), (4, 2), (8, 1), (8, 2), (10, 1), (10, 2), (11, 1), (11, 2)}
+    folded = spark.createDataFrame([(1, "\ufdfa " * 4)], "doc_id long, text string")  # four characters, more words
+    words = spark.createDataFrame([(1, "\ufdfa \ufdfa \ufdfa \ufdfa")], "item_id int, item_text string")
+    assert leakage.leaked_items(folded, words, min_words=12).count() == 1
     assert leakage.leaked_items(d, i.limit(0)).count() == 0 and leakage.leaked_items(d.limit(0), i).count() == 0
     with pytest.raises(ValueError):
         leakage.leaked_items(d, i, min_words=4)
