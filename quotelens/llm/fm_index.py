@@ -58,7 +58,8 @@ class Wavelet:
 
 
 class FMIndex:
-    """Index of ``texts`` (code-point arrays); each belongs to an owner, -1 to several."""
+    """Index of ``texts`` (code-point arrays); each belongs to an owner, numbered from 0, -1
+    to several.  Beside the wavelet bits it keeps five numbers of 32 bits a character."""
 
     def __init__(self, texts: list[np.ndarray], owners: np.ndarray):
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -78,12 +79,12 @@ class FMIndex:
         self.less = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(self.alphabet) + 1))])
         self.wavelet = Wavelet(last, bits)
         own = np.repeat(np.asarray(owners, np.int64), sizes + 1)[order]
-        self.owner = np.append(own, -2)
+        self.owner = np.append(own, -2).astype(np.int32)
         change = np.flatnonzero(np.r_[own[1:] != own[:-1], True]) + 1
-        self.other = np.append(change[np.searchsorted(change, np.arange(n), side="right")], n)  # next suffix of another owner
-        self.lcp = lcp
-        self.left, self.right = self._smaller(lcp[::-1]), self._smaller(lcp)
-        self.left = n - self.left[::-1]
+        self.other = np.append(change[np.searchsorted(change, np.arange(n), side="right")], n).astype(np.int32)  # next suffix of another owner
+        self.lcp = lcp.astype(np.int32)
+        self.left = (n - self._smaller(self.lcp[::-1])[::-1]).astype(np.int32)
+        self.right = self._smaller(self.lcp).astype(np.int32)
 
     @staticmethod
     def _sort(code: np.ndarray, bits: int, depth: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -131,10 +131,11 @@ def _search_shard(t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     texts = pa.compute.dictionary_encode(t.column("around").combine_chunks().take(pa.array(row)))
     kind, words = texts.indices.to_numpy(), texts.dictionary.to_pylist()
     known = indexed[row]
+    name = np.unique(doc, return_inverse=True)[1]  # documents numbered within the shard
     owner = np.full(len(words), -3, np.int64)  # of the indexed copies: -1 for several owners
-    owner[kind[known]] = doc[row][known]
+    owner[kind[known]] = name[row][known]
     several = np.zeros(len(words), bool)
-    several[kind[known][owner[kind[known]] != doc[row][known]]] = True
+    several[kind[known][owner[kind[known]] != name[row][known]]] = True
     owner[several] = -1
     code = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
     held = np.flatnonzero(owner > -3)
@@ -144,9 +145,9 @@ def _search_shard(t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     asking = asks[row]
     row, kind = row[asking], kind[asking]
     # Copies of one text by one document ask once.
-    asked = np.unique(np.stack([kind, doc[row]]), axis=1)
+    asked = np.unique(np.stack([kind, name[row]]), axis=1)
     back = {pair: n for n, pair in enumerate(map(tuple, asked.T.tolist()))}
-    which = np.fromiter((back[p] for p in zip(kind.tolist(), doc[row].tolist())), np.int64, len(row))
+    which = np.fromiter((back[p] for p in zip(kind.tolist(), name[row].tolist())), np.int64, len(row))
     places = np.argsort(which, kind="stable")
     bounds = np.searchsorted(which[places], np.arange(asked.shape[1] + 1))
     for q, a, b in index.matches([code[i] for i in asked[0]], asked[1], least):

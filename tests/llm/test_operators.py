@@ -103,7 +103,7 @@ def test_components_of_long_chains_and_a_hub(spark, monkeypatch):
 def test_shared_spans(spark, how):
     r = random.Random(3)
     base = ["".join(r.choices("abcdе😀 ", k=r.randint(0, 90))) for _ in range(40)]
-    rows = [(i, t) for i, t in enumerate(base)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(-7, base[3] + base[4])]
     rows += [(100 + i, "".join(x[a : a + r.randint(5, 40)] for x in r.sample(base, 3) for a in [r.randrange(len(x) + 1)])) for i in range(40)]
     rows += [(200, base[0]), (201, "xyz" * 30), (202, "xyz" * 30), (203, "q" * 60), (204, None), (205, ""), (0, base[0]), (206, "ab" * 200)]
     least, cover = 12, {}
