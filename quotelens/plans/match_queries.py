@@ -69,7 +69,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Edit distance and similarity of every quote and its correction, normalized."""
-    n = _pairs(spark, d).where(T.contains_arabic(F.col("original"))).select("quote_id", T.normalize_arabic(F.col("original")).alias("a"), T.normalize_arabic(F.col("corrected")).alias("b"))
+    n = _pairs(spark, d).select("quote_id", T.normalize_arabic(F.col("original")).alias("a"), T.normalize_arabic(F.col("corrected")).alias("b"))
     return n.select("quote_id", F.levenshtein("a", "b").alias("distance"), F.round(T.similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
@@ -275,7 +275,7 @@ verdict AS (
 SQL = {
     "normalize_text": f"{_Q} SELECT quote_id, {S.norm('original')} AS norm FROM asked",
     "normalize_options": f"{_Q} SELECT quote_id, {', '.join(f'{S.norm("original", o)} AS {n}' for n, o in _VARIANTS.items())} FROM asked",
-    "remove_diacritics": f"{_Q} SELECT quote_id, translate(original, '{T.MARKS}', '') AS bare FROM asked",
+    "remove_diacritics": f"{_Q} SELECT quote_id, regexp_replace(original, '[{S.MARKS_RE2}]', '', 'g') AS bare FROM asked",
     "contains_arabic": f"{_Q} SELECT quote_id, {S.has_arabic('original')} AS arabic FROM asked",
     "clean_texts": f"{_Q} SELECT quote_id, {S.clean('original')} AS cleaned, {S.strip("translate(original, '٠١٢٣٤٥٦٧٨٩', '')")} AS digitless, q AS stripped FROM asked",
     "extract_segments": f"""{_Q}, framed AS (SELECT quote_id, concat('It is said: ', original, ' (sic), ', original, chr(10)) AS t FROM asked),
@@ -283,7 +283,7 @@ hits AS (SELECT quote_id, regexp_extract_all(t, '[{S.A_RE2}][{S.A_RE2}{S.WS_RE2}
 each AS (SELECT quote_id, h[i] AS raw, CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN h[1:i - 1]]), 0) AS INT) AS s
   FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM hits))
 SELECT quote_id, {S.strip('raw')} AS text, s AS start, s + length(raw) AS "end" FROM each WHERE {S.strip('raw')} <> ''""",
-    "similarity_pairs": f"""WITH n AS (SELECT DISTINCT quote_id, {S.norm('original')} AS a, {S.norm('corrected')} AS b FROM quotes WHERE original IS NOT NULL AND corrected IS NOT NULL AND {S.has_arabic('original')})
+    "similarity_pairs": f"""WITH n AS (SELECT DISTINCT quote_id, {S.norm('original')} AS a, {S.norm('corrected')} AS b FROM quotes WHERE original IS NOT NULL AND corrected IS NOT NULL)
 SELECT quote_id, {S.distance('a', 'b')} AS distance, round({S.similarity('a', 'b')}, 9) AS similarity FROM n""",
     "find_differences": f"WITH pairs AS (SELECT DISTINCT quote_id, original, corrected FROM quotes WHERE original IS NOT NULL AND corrected IS NOT NULL), {_DIFFS} SELECT * FROM diffs",
     "parse_reference": rf"""WITH r AS (SELECT DISTINCT quote_id, {S.plain_digits('reference')} AS r, '^([0-9]+):([0-9]+)(-([0-9]+))?\n?$' AS shape FROM quotes WHERE reference IS NOT NULL)

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from quotelens.chars import A_RE2, BLANKS, JUNK, OTHER_DIGITS, PLAIN_DIGITS, WS_RE2
-from quotelens.functions.text import DEFAULT, translation
+from quotelens.chars import OTHER_DIGITS, PLAIN_DIGITS
 from quotelens.options import NormalizationOptions
 
-#: White space as a SQL expression: control characters by code, the rest as they are.
-_WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in BLANKS) + ")"
+# The oracles' own statement of the character classes, apart from the library's.
+WS_RE2 = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+A_RE2 = r"\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
+MARKS_RE2 = r"\x{64B}-\x{65F}\x{670}\x{6D6}-\x{6ED}"
 
 
 def strip(x: str) -> str:
-    return f"trim({x}, {_WS})"
+    return rf"regexp_replace(regexp_replace({x}, '^[{WS_RE2}]+', ''), '[{WS_RE2}]+$', '')"
 
 
-def norm(x: str, opts: NormalizationOptions = DEFAULT) -> str:
-    old, new = translation(opts)
-    out = f"translate({x}, '{old}', '{new}')" if old else x
-    return strip(f"regexp_replace({out}, '[{WS_RE2}]+', ' ', 'g')") if opts.normalize_whitespace else out
+def norm(x: str, opts: NormalizationOptions = NormalizationOptions()) -> str:
+    if opts.remove_diacritics:
+        x = f"regexp_replace({x}, '[{MARKS_RE2}]', '', 'g')"
+    if opts.normalize_alef:
+        x = f"translate({x}, 'أإآٱ', 'اااا')"
+    if opts.normalize_alef_maqsura:
+        x = f"replace({x}, 'ى', 'ي')"
+    if opts.normalize_teh_marbuta:
+        x = f"replace({x}, 'ة', 'ه')"
+    if opts.remove_tatweel:
+        x = f"replace({x}, 'ـ', '')"
+    if opts.normalize_hamza:
+        x = f"replace(replace({x}, 'ؤ', 'و'), 'ئ', 'ي')"
+    return strip(f"regexp_replace({x}, '[{WS_RE2}]+', ' ', 'g')") if opts.normalize_whitespace else x
 
 
 def has_arabic(x: str) -> str:
@@ -25,7 +36,7 @@ def has_arabic(x: str) -> str:
 
 
 def clean(x: str) -> str:
-    return f"translate({x}, concat({', '.join(f'chr({ord(c)})' for c in JUNK)}), '')"
+    return f"translate({x}, concat(chr(65279), chr(8203), chr(8204), chr(8205), chr(65534), chr(65535)), '')"
 
 
 def plain_digits(x: str) -> str:
