@@ -33,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
-    Only where the session names none (tests, one machine) a folder is set here.
+    Only in a session of one process (tests) that names none a folder is set here; on a
+    cluster a machine's own folder would be lost with the machine.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quotelens-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 

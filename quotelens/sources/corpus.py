@@ -12,6 +12,7 @@ from quotelens.options import INDEX_OPTIONS
 
 VERSE_JSON = "id INT, surah INT, ayah INT, text STRING, textSimple STRING, page INT, juz INT"
 SURAH_JSON = "number INT, name STRING, englishName STRING, versesCount INT, revelationType STRING"
+POSITION = "file_position"
 WORD_MAP = "map<string,struct<surah:string,ayah:string,word:string,text:string>>"
 VERSE_MAP = "map<string,struct<id:int,surah:int,ayah:int,text:string>>"
 PAYLOAD = (
@@ -21,20 +22,24 @@ PAYLOAD = (
 
 
 def json_rows(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """Rows of the JSON array ``name``.json, or of ``name``.min.json where that is missing."""
+    """Rows of the JSON array ``name``.json, or of ``name``.min.json where that is missing,
+    with their order in the file."""
     jvm = spark.sparkContext._jvm
     for path in (f"{folder}/{name}.json", f"{folder}/{name}.min.json"):
         p = jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return spark.read.schema(schema).option("multiLine", True).json(path)
+            rows = spark.read.schema(schema).option("multiLine", True).json(path)
+            return rows.withColumn(POSITION, F.monotonically_increasing_id())
     raise FileNotFoundError(f"{name}.json and {name}.min.json are missing in {folder}")
 
 
 def parse_verses(rows: DataFrame) -> DataFrame:
-    """Verses with defaults for missing optional fields; ``ord`` is the order of ids."""
+    """Verses with defaults for missing optional fields; ``ord`` is the order in the file,
+    or that of ids where the rows come from elsewhere."""
+    order = POSITION if POSITION in rows.columns else "id"
     return rows.select(
         "id", "surah", "ayah", "text", F.coalesce("textSimple", F.lit("")).alias("text_simple"),
-        F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("juz", F.lit(0)).alias("juz"), F.col("id").alias("ord"),
+        F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("juz", F.lit(0)).alias("juz"), F.col(order).alias("ord"),
     )
 
 
@@ -104,8 +109,11 @@ def build_from_maps(verses: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def build_from_payload(payload: DataFrame, column: str = "payload") -> DataFrame:
-    """Corpus rows from an API payload: nested chapters unnested, ids in reading order."""
-    surahs = payload.select(F.explode(F.col(f"{column}.data.surahs")).alias("s"))
+    """Corpus rows from an API payload: nested chapters unnested, ids in reading order.  A
+    payload whose code isn't 200 is an error, not an empty corpus."""
+    code = F.col(f"{column}.code")
+    failed = F.raise_error(F.concat(F.lit("download failed with code "), F.coalesce(code.cast("string"), F.lit("null"))))
+    surahs = payload.select(F.explode(F.when(code == 200, F.col(f"{column}.data.surahs")).otherwise(failed)).alias("s"))
     verses = surahs.select(F.col("s.number").alias("surah"), F.posexplode("s.ayahs").alias("n", "a"))
     # Ids run over all chapters: each chapter's offset comes from the chapters' sizes.
     sizes = surahs.select(F.col("s.number").alias("surah"), F.size("s.ayahs").alias("size"))
@@ -119,13 +127,37 @@ def build_from_payload(payload: DataFrame, column: str = "payload") -> DataFrame
     )
 
 
+def camel_verses(verses: DataFrame) -> DataFrame:
+    """Verses in the field names of the JSON files, which ``parse_verses`` reads."""
+    return verses.select("id", "surah", "ayah", "text", F.col("text_simple").alias("textSimple"), "page", "juz")
+
+
+def camel_surahs(surahs: DataFrame) -> DataFrame:
+    return surahs.select("number", "name", F.col("english_name").alias("englishName"), F.col("verses_count").alias("versesCount"), F.col("revelation_type").alias("revelationType"))
+
+
 def json_object(columns: list[str]) -> Column:
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+
+
+def _write_lines(items: DataFrame, order: str, path: str, ends: tuple[str, str], pretty: bool) -> None:
+    """A JSON file of ``items`` (.., line) in order: a sorted stream of lines, never held
+    as a whole."""
+    number = F.row_number().over(Window.orderBy(order, "line"))
+    gap = "  " if pretty else ""
+    lines = items.select(F.lit(1).alias("part"), number.alias("n"), F.concat(F.when(number > 1, "," + gap).otherwise(gap), "line").alias("value"))
+    edges = items.sparkSession.createDataFrame([(0, 0, ends[0]), (2, 0, ends[1])], "part int, n int, value string")
+    lines.unionByName(edges).repartition(1).sortWithinPartitions("part", "n").select("value").write.mode("overwrite").option("lineSep", "\n" if pretty else " ").text(path)
 
 
 def write_json_array(rows: DataFrame, path: str, columns: list[str], order: str, pretty: bool = False) -> None:
-    """One JSON array of a bounded dimension or corpus, in order, non-ASCII kept."""
-    each = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), json_object(columns).alias("j")))), lambda x: x["j"])
-    inner = F.array_join(each, ",\n  " if pretty else ",")
-    whole = F.concat(F.lit("[\n  " if pretty else "["), inner, F.lit("\n]" if pretty else "]"))
-    rows.agg(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One JSON array of a corpus or dimension, in order, non-ASCII kept; one file, which
+    ``json_rows`` reads back.  Null fields are written as null; an empty table gives []."""
+    _write_lines(rows.select(F.col(order).alias("k"), json_object(columns).alias("line")), "k", path, ("[", "]"), pretty)
+
+
+def write_json_map(rows: DataFrame, path: str, key: str, value: Column, pretty: bool = False) -> None:
+    """One JSON object with a field for each row, in order of its ``key``: the raw downloads'
+    form, and that of the inverted index (``read_map``)."""
+    name = F.regexp_extract(F.to_json(F.array(F.col(key))), r"(?s)^\[(.*)\]$", 1)
+    _write_lines(rows.select(F.col(key).alias("k"), F.concat(name, F.lit(":"), value).alias("line")), "k", path, ("{", "}"), pretty)

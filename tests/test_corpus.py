@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quotelens.sources import corpus as C
 from quotelens.streaming.validate import start_validation, stream_validate
@@ -10,12 +11,12 @@ def test_json_sources_fall_back_and_fill_defaults(spark, tmp_path):
     (tmp_path / "quran-verses.min.json").write_text(json.dumps([{"id": 1, "surah": 1, "ayah": 1, "text": "قُلْ"}, {"id": 2, "surah": 1, "ayah": 2, "text": "هُوَ", "textSimple": "هو", "page": 3, "juz": 1}]))
     (tmp_path / "quran-surahs.json").write_text(json.dumps([{"number": 1, "name": "ا", "englishName": "A", "versesCount": 2, "revelationType": "Meccan"}]))
     verses, surahs = C.load_corpus(spark, str(tmp_path))
-    assert [tuple(r) for r in verses.orderBy("id").collect()] == [(1, 1, 1, "قُلْ", "", 0, 0, 1), (2, 1, 2, "هُوَ", "هو", 3, 1, 2)]
+    assert [tuple(r) for r in verses.orderBy("id").collect()] == [(1, 1, 1, "قُلْ", "", 0, 0, 0), (2, 1, 2, "هُوَ", "هو", 3, 1, 1)]
     assert C.verse_skeleton(surahs).count() == 2
     with pytest.raises(FileNotFoundError):
         C.json_rows(spark, str(tmp_path), "nothing", "id INT")
     C.write_json_array(verses, f"{tmp_path}/out", ["id", "text"], "id")
-    assert json.loads(spark.read.text(f"{tmp_path}/out").collect()[0][0]) == [{"id": 1, "text": "قُلْ"}, {"id": 2, "text": "هُوَ"}]
+    assert json.loads(spark.read.text(f"{tmp_path}/out", wholetext=True).collect()[0][0]) == [{"id": 1, "text": "قُلْ"}, {"id": 2, "text": "هُوَ"}]
     index = {r.norm: list(r.ids) for r in C.normalized_index(verses).collect()}
     assert index == {"": [1], "هو": [2]}
 
@@ -37,6 +38,29 @@ def test_payload_pipeline(spark):
     assert [(r.id, r.surah, r.ayah, r.text) for r in C.build_from_payload(df).orderBy("id").collect()] == [(1, 1, 1, "t11"), (2, 1, 2, "t12"), (3, 2, 1, "t21"), (4, 2, 2, "t22")]
 
 
+def test_order_is_that_of_the_file_and_sinks_read_back(spark, tmp_path):
+    rows = [{"id": 9, "surah": 1, "ayah": 1, "text": "a\"b"}, {"id": 2, "surah": 1, "ayah": 2, "text": "ق", "page": None}]
+    (tmp_path / "quran-verses.json").write_text(json.dumps(rows))
+    verses = C.parse_verses(C.json_rows(spark, str(tmp_path), "quran-verses", C.VERSE_JSON))
+    assert [r.id for r in verses.orderBy("ord").collect()] == [9, 2]
+    for pretty in (True, False):
+        camel = C.camel_verses(verses)
+        C.write_json_array(camel, f"{tmp_path}/{pretty}/v.json", camel.columns, "id", pretty)
+        back = C.parse_verses(C.json_rows(spark, f"{tmp_path}/{pretty}", "v", C.VERSE_JSON))
+        assert [(r.id, r.text) for r in back.orderBy("ord").collect()] == [(2, "ق"), (9, 'a"b')]
+    C.write_json_array(verses.limit(0), f"{tmp_path}/none.json", ["id"], "id")
+    assert C.json_rows(spark, str(tmp_path), "none", "id INT").count() == 0
+    C.write_json_map(verses, f"{tmp_path}/m.json", "text", F.to_json(F.array("id")))
+    assert {r.location: list(r.v) for r in C.read_map(spark, f"{tmp_path}/m.json", "map<string,array<int>>").collect()} == {'a"b': [9], "ق": [2]}
+
+
+def test_failed_payload_is_an_error(spark):
+    for code in (404, None):
+        df = spark.createDataFrame([(json.dumps({"code": code, "data": {"surahs": []}}),)], "j string").selectExpr(f"from_json(j, '{C.PAYLOAD}') payload")
+        with pytest.raises(Exception, match="download failed"):
+            C.build_from_payload(df).collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     corpus = C.prepared(spark.createDataFrame([(1, 1, 1, "قُلْ هُوَ ٱلنُّورُ", "", 1)], "id int, surah int, ayah int, text string, text_simple string, ord int"))
     rows = [(1, "قل هو النور"), (2, "x"), (3, "قُلْ هُوَ ٱلنُّورُ"), (4, None)]
