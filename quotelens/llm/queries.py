@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import language, leakage, lookalikes, near_duplicates, packing, shared_spans, term_counts
+from quotelens.llm import language, leakage, lookalikes, near_duplicates, oracles, packing, shared_spans, term_counts
 from quotelens.llm.records import distinct_texts, plain_form
 from quotelens.plans.runtime import table
 
@@ -75,6 +75,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("n_parts").agg(F.count("*").alias("n_containers"), F.sum("used").alias("used_tokens"), F.sum(packing.CAPACITY - F.col("used")).alias("unused_tokens"))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed, those split although they fit, and containers that hold too much."""
+    parts = p6_packing(spark, d)
+    docs = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("part_tokens").alias("tokens"))
+    split = F.count_if((F.col("n") > 1) & (F.col("tokens") <= packing.CAPACITY)).alias("n_split")
+    over = parts.groupBy("container_id").agg(F.sum("part_tokens").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).alias("n_overfull"))
+    return docs.agg(F.count("*").alias("n_documents"), split).join(over)  # one row each
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with passages of held-out items."""
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
@@ -92,6 +101,11 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.language_runs(table(spark, d, "documents").select("doc_id", "text"), prof)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found, p5_found, p5_shares, p6_packing, p6_fill, p7_found, p8_found, p8_segments)}
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that have a language: all that have a word."""
+    return p8_segments(spark, d).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_groups, p3_found, p5_found, p5_shares, p6_packing, p6_fill, p6_invariants, p7_found, p8_found, p8_segments, p8_documents)}
 
-SQL: dict[str, str] = {}
+SQL = oracles.SQL
