@@ -37,8 +37,8 @@ def verse_ranges(ranges: DataFrame, corpus: DataFrame) -> DataFrame:
     # Ranges beyond a surah's last verse are never whole; the rest name its verses one by one.
     held = corpus.groupBy("surah").agg(F.min("ayah").alias("first"), F.max("ayah").alias("last"))
     inside = keys.join(held, "surah").where((F.col("start_ayah") >= F.col("first")) & (F.col("end_ayah") <= F.col("last")))
-    named = materialize(inside.select("surah", "start_ayah", "end_ayah", F.explode(F.sequence("start_ayah", "end_ayah")).alias("ayah")))
-    met = salted_join(named, verses, ["surah", "ayah"])
+    # The ranges are distinct, so at most the square of a surah's verses name one verse.
+    met = inside.select("surah", "start_ayah", "end_ayah", F.explode(F.sequence("start_ayah", "end_ayah")).alias("ayah")).join(verses, ["surah", "ayah"])
     in_order = F.array_sort(F.collect_list(F.struct("ayah", "id", "text", "text_simple"))).alias("v")
     grouped = met.groupBy("surah", "start_ayah", "end_ayah").agg(in_order)
     whole = grouped.where(F.size("v") == F.col("end_ayah").cast("bigint") - F.col("start_ayah") + 1)
@@ -58,6 +58,8 @@ def get_surah(surahs: DataFrame, number: int) -> DataFrame:
 
 #: Queries and texts of the corpus that are compared in one block.
 QUERIES, TEXTS = 1000, 5000
+#: Characters of a table of texts, filled up to the longest, that are compared at once.
+CELLS = 4_000_000
 
 
 def _search_block(queries: pa.Table, verses: pa.Table, limit: int, floor: float) -> pa.Table:
@@ -66,22 +68,29 @@ def _search_block(queries: pa.Table, verses: pa.Table, limit: int, floor: float)
     if not queries.num_rows or not verses.num_rows:
         return shape.empty_table()
     verses = verses.take(pc.sort_indices(pc.utf8_length(verses.column("norm"))))
-    symbols, sizes = padded(verses.column("norm").to_pylist())
-    alphabet = np.unique(symbols)
-    symbols = np.searchsorted(alphabet, symbols)
+    asked, norms = queries.column("q").to_pylist(), verses.column("norm").to_pylist()
     order, rows, owners, found = verses.column("ord").to_numpy(), [], [], []
-    for k, q in enumerate(queries.column("q").to_pylist()):
-        # A similarity above the floor bounds the ratio of lengths.
-        a, b = np.searchsorted(sizes, int(len(q) * floor)), np.searchsorted(sizes, len(q) / floor + 1, side="right") if floor > 0 else len(sizes)
-        if a >= b:
-            continue
-        longer = np.maximum(sizes[a:b], len(q))
-        near = np.where(longer > 0, 1.0 - distances(q, symbols[: int(sizes[b - 1]), a:b], sizes[a:b], alphabet) / np.maximum(longer, 1), 1.0)
-        hit = np.flatnonzero(near > floor)
-        best = hit[np.lexsort((order[a:b][hit], -near[hit]))[:limit]]
-        rows.append(a + best)
-        owners.append(np.full(len(best), k))
-        found.append(near[best])
+    at = 0
+    while at < len(norms):  # verses of like length, as many as fit the table of their characters
+        end = at + 1
+        while end < len(norms) and (end + 1 - at) * len(norms[end]) <= CELLS:
+            end += 1
+        symbols, sizes = padded(norms[at:end])
+        alphabet = np.unique(symbols)
+        symbols = np.searchsorted(alphabet, symbols).astype(np.uint16 if len(alphabet) < 1 << 16 else np.int32)
+        for k, q in enumerate(asked):
+            # A similarity above the floor bounds the ratio of lengths.
+            a, b = np.searchsorted(sizes, int(len(q) * floor)), np.searchsorted(sizes, len(q) / floor + 1, side="right") if floor > 0 else len(sizes)
+            if a >= b:
+                continue
+            longer = np.maximum(sizes[a:b], len(q))
+            near = np.where(longer > 0, 1.0 - distances(q, symbols[: int(sizes[b - 1]), a:b], sizes[a:b], alphabet) / np.maximum(longer, 1), 1.0)
+            hit = np.flatnonzero(near > floor)
+            best = hit[np.lexsort((order[at + a : at + b][hit], -near[hit]))[:limit]]
+            rows.append(at + a + best)
+            owners.append(np.full(len(best), k))
+            found.append(near[best])
+        at = end
     if not rows:
         return shape.empty_table()
     taken = verses.take(pa.array(np.concatenate(rows))).select(["id", "surah", "ayah", "ord"])

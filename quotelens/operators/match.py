@@ -66,7 +66,7 @@ def contained_pairs(needles: DataFrame, hays: DataFrame, tile: int = HAYS, tile_
     """
     sizes = tuple(sorted(r[0] for r in needles.select(F.least(F.length("needle"), F.lit(3)).alias("n")).distinct().collect()))  # three at most
     if not sizes:
-        return needles.select("needle").crossJoin(hays.select("hay").limit(0))
+        return needles.select("needle", F.lit(None).cast("string").alias("hay")).limit(0)
     held = _gram_rows(hays, "hay", sizes, False)
     counts = held.groupBy("gram").count()
     own = _gram_rows(needles, "needle", sizes, True)

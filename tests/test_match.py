@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,17 @@ def test_search_and_empty_corpus(spark):
         lookup.search(asked, none, -1)
 
 
+def test_search_in_small_tables_of_characters(spark, monkeypatch):
+    rows = [*verses(30, 3), (50, 9, 3, "قلم " * 300), (51, 9, 4, "")]
+    asked = spark.createDataFrame([(k, rows[k][3]) for k in (4, 9, 32)] + [(99, "")], "qid int, query string")
+    want = {(k, v[0]) for k, q in [(k, rows[k][3]) for k in (4, 9, 32)] + [(99, "")] for v in rows if spec.sim(spec.norm(q), spec.norm(v[3])) > 0.3}
+    for cells in (lookup.CELLS, 50):
+        monkeypatch.setattr(lookup, "CELLS", cells)
+        block = lookup._search_block(pa.table({"q": [spec.norm(rows[4][3])]}), pa.table({"id": [v[0] for v in rows], "surah": [1] * len(rows), "ayah": [1] * len(rows), "ord": [v[0] for v in rows], "norm": [spec.norm(v[3]) for v in rows]}), 100, 0.3)
+        assert set(block.column("id").to_pylist()) == {i for k, i in want if k == 4}
+    assert {(r.qid, r.id) for r in lookup.search(asked, corpus_of(spark, rows), 100).collect()} == want
+
+
 def test_ranges_and_lookups(spark):
     rows = verses()
     corpus = corpus_of(spark, rows)
