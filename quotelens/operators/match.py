@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from quotelens.functions.text import DIFF_TYPE, contains_arabic, find_differences, normalize_arabic, reference_text, similarity, strip
 from quotelens.operators import grams
-from quotelens.operators.skew import costly_join, hot_counts, once, salted_join, tasks_for
+from quotelens.operators.skew import costly_join, hot_buckets, hot_counts, once, salted_join, tasks_for
 from quotelens.options import ValidatorOptions
 from quotelens.plans.runtime import materialize
 
@@ -207,9 +207,11 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, size: int
     met = keyed(left, "q", "a").join(keyed(right, "norm", "b"), "key").where(F.least("a_n", "b_n") >= F.lit(threshold) * F.greatest("a_n", "b_n") - 1e-9)
     # Equal ids of different texts only add candidates; every one is compared below.
     close = met.groupBy("a_id", "b_id").agg(F.count("*").alias("hits"), F.min(F.when(F.col("key") < 0, 1).otherwise(F.least("a_meet", "b_meet"))).alias("least"))
-    pairs = close.where(F.col("hits") >= F.col("least")).select("a_id", "b_id")
-    asked = pairs.join(left.select(F.xxhash64("q").alias("a_id"), "q"), "a_id").select("b_id", "q")
-    return with_similarity(costly_join(asked, right.select(F.xxhash64("norm").alias("b_id"), "norm"), "b_id", ["q"]).select("q", "norm"), threshold)
+    pairs = materialize(close.where(F.col("hits") >= F.col("least")).select("a_id", "b_id"))
+    # Texts with very many candidates are split on either side.
+    asked = salted_join(pairs, left.select(F.xxhash64("q").alias("a_id"), "q"), ["a_id"]).select("b_id", "q")
+    known = right.select(F.xxhash64("norm").alias("b_id"), "norm")
+    return with_similarity(costly_join(asked, known, "b_id", ["q"], hot_buckets(pairs, ["b_id"])).select("q", "norm"), threshold)
 
 
 def with_similarity(pairs: DataFrame, threshold: float) -> DataFrame:

@@ -112,6 +112,7 @@ def _docs(fmt: str) -> str:
 
 
 _REF = r"\p{Nd}+:\p{Nd}+(?:-\p{Nd}+)?"
+# The tag formats, for RE2.
 _TAG = {
     "xml": rf"""(?is)<quran[{S.WS_RE2}]+ref=["'']({_REF})["'']>(.*?)</quran>""",
     "markdown": rf"""(?is)```quran[{S.WS_RE2}]+ref=["'']({_REF})["''][\r\n]+(.*?)[\r\n]+```""",
@@ -144,7 +145,7 @@ _SEGMENTS = f"""seg AS (
 
 _DETECT = f"""WITH {_docs('xml')}, {_SEGMENTS}, {S.CORPUS}, asked AS (SELECT DISTINCT text AS quote_id, text AS original, text AS q FROM seg), {M._STAGES}, {M._cascade(True)}"""
 
-# The announcements, in the order in which they are looked for, for RE2.
+# The announcements, in the order in which they are looked for, for RE2.
 _W = f"[{S.WS_RE2}]"
 _TRIGGERS = (
     rf"(?i)(?:Allah{_W}+says?|God{_W}+says?|the{_W}+Quran{_W}+says?|in{_W}+the{_W}+Quran|Quranic{_W}+verse|verse{_W}+states?|ayah|ayat|surah){_W}*[:\-]?{_W}*",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quotelens.chars import OTHER_DIGITS, PLAIN_DIGITS
 from quotelens.options import NormalizationOptions
 
-# The oracles' own statement of the character classes, apart from the library's.
+# The oracles' own statement of the character classes, apart from the library's.
 WS_RE2 = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 A_RE2 = r"\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
 MARKS_RE2 = r"\x{64B}-\x{65F}\x{670}\x{6D6}-\x{6ED}"

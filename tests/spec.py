@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# Marks, letter variants and blocks.
 MARK = dict.fromkeys([*range(0x64B, 0x660), 0x670, *range(0x6D6, 0x6EE), 0x640])
 FOLD = MARK | str.maketrans("أإآٱىةؤئ", "اااايهوي")
 A = "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
@@ -73,6 +74,7 @@ def differences(a, b):
     return out
 
 
+# The tag formats and what announces a quote.
 D = r"\d+:\d+(?:-\d+)?"
 TAGS = {
     "xml": rf"(?i)<quran\s+ref=[\"']({D})[\"']>([\s\S]*?)</quran>",

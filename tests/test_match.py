@@ -93,6 +93,18 @@ def test_similar_pairs_lose_nothing(spark, threshold):
         match.similar_pairs(*frames, 0.5, 3)
 
 
+def test_a_verse_like_a_third_of_all_texts(spark, monkeypatch):
+    from quotelens.operators import skew
+
+    r = random.Random(17)
+    verse = "نور بعيد قريب سماء ارض طويل"
+    left = sorted({verse[:k] + c + verse[k + 1 :] for k in range(len(verse)) for c in "بتث"} | {" ".join(r.choices(WORDS, k=5)) for _ in range(160)})
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((left, "q"), ([verse, "قلم بحر"], "norm"))]
+    monkeypatch.setattr(skew.hot_buckets, "__defaults__", (10,))
+    got = sorted((x.q, x.norm) for x in match.similar_pairs(*frames, 0.8).collect())
+    assert got == sorted((a, b) for a in left for b in (verse, "قلم بحر") if spec.sim(a, b) >= 0.8)
+
+
 def test_distances_equal_the_statement():
     r = random.Random(1)
     for _ in range(40):
