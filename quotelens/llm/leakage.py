@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quotelens.chars import BLANKS
 from quotelens.llm.house_form import is_invisible
-from quotelens.operators.skew import salted_join
+from quotelens.operators.skew import hot_buckets, salted_join
 from quotelens.plans.runtime import materialize
 
 SHINGLE = 5
@@ -164,8 +164,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 16, fi
     size = min_words - SHINGLE + 1
     named = lambda df, key, text: df.where(F.col(text) != "").select(F.col(key).cast("bigint").alias("row"), F.col(text).alias("text"))
     kept = named(items, "item_id", "item_text").mapInArrow(partial(_windows, min_words=min_words), _RUNS)
-    windows = materialize(kept.select(F.col("shingles").alias("window"), F.col("row").alias("item_id")).distinct())
-    known = windows.select(F.explode("window").alias("shingle")).distinct()
+    # Windows go by a 128-bit key; only where they are compared do they stand in full.
+    key = [F.xxhash64("shingles").alias("w1"), F.xxhash64(F.lit(7), "shingles").alias("w2")]
+    windows = materialize(kept.select(*key, F.col("shingles").alias("window"), F.col("row").alias("item_id")).distinct())
+    each = windows.select("w1", "w2", F.posexplode("window").alias("place", "shingle")).distinct()
+    known = each.select("shingle").distinct()
     filled = np.zeros(1 << (filter_bits - 6), np.uint64)
     parts = known.mapInArrow(partial(_bit_words, bits=filter_bits), "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most the map
     filled[parts["w"].to_numpy()] = parts["b"].to_numpy().view(np.uint64)
@@ -173,13 +176,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 16, fi
     runs = materialize(named(documents, "doc_id", "text").mapInArrow(partial(_scan, filled=shared, bits=filter_bits, min_words=min_words), _RUNS))
     # Runs that hold each shingle of an item, over all documents.
     counted = runs.select(F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").count()
-    placed = windows.select("window").distinct().select("window", F.posexplode("window").alias("place", "shingle")).join(counted, "shingle", "left")
-    rarest = placed.groupBy("window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "shingle", "place")).alias("r"))
+    placed = each.join(counted, "shingle", "left")
+    rarest = placed.groupBy("w1", "w2").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "shingle", "place")).alias("r"))
     # A window with a shingle of no document is nowhere.
-    wanted = materialize(rarest.where("r.n > 0").select("window", "r.shingle", "r.place"))
-    begins = materialize(runs.select("row", "shingles", F.posexplode("shingles").alias("at", "shingle")).join(wanted.select("shingle").distinct(), "shingle", "left_semi"))
+    wanted = materialize(rarest.where("r.n > 0").select("w1", "w2", "r.shingle", "r.place").join(windows.select("w1", "w2", "window").distinct(), ["w1", "w2"]))
+    begins = runs.select("row", "shingles", F.posexplode("shingles").alias("at", "shingle"))
+    often = hot_buckets(begins.join(wanted.select("shingle").distinct(), "shingle", "left_semi").select("shingle"), ["shingle"])
     start = F.col("at") - F.col("place")
-    met = salted_join(begins, wanted, ["shingle"]).where((start >= 0) & (start + size <= F.size("shingles")))
-    fits = met.where(F.slice("shingles", start + 1, size) == F.col("window")).select("row", "window").distinct()
-    found = fits.join(windows, "window").select(F.col("row").alias("doc_id"), F.col("item_id").cast(items.schema["item_id"].dataType).alias("item_id"))
+    met = salted_join(begins, wanted, ["shingle"], hot=often).where((start >= 0) & (start + size <= F.size("shingles")))
+    fits = met.where(F.slice("shingles", start + 1, size) == F.col("window")).select("row", "w1", "w2").distinct()
+    found = fits.join(windows, ["w1", "w2"]).select(F.col("row").alias("doc_id"), F.col("item_id").cast(items.schema["item_id"].dataType).alias("item_id"))
     return found.distinct()
