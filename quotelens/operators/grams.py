@@ -51,17 +51,6 @@ def gram_hashes(code: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
     return owner[:count][whole], mixed(h[whole])
 
 
-def bags(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) in order of texts: n-grams told apart by their number among equal ones,
-    as numbers of 63 bits."""
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])] if len(h) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    number = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
-    return owner, mixed(h + number.astype(np.uint64)) >> np.uint64(1)
-
-
 def distinct_grams(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], own: bool) -> Iterator[pa.RecordBatch]:
     """(id, gram): distinct n-grams of each text (id, s), of all ``sizes``; with ``own`` only
     of the largest size that the text is long enough for."""
@@ -79,12 +68,3 @@ def distinct_grams(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], ow
             found.append((ids[o[new]], h[new]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b.view(np.int64))], names=["id", "gram"])
-
-
-def count_bags(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(b, n): keys of n-grams counted in 2**bits buckets, piece by piece."""
-    for _, texts in pieces(batches):
-        code, owner, _ = packed(texts)
-        _, key = bags(*gram_hashes(code, owner, n))
-        b, count = np.unique(key & np.uint64((1 << bits) - 1), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(count, pa.int64())], names=["b", "n"])

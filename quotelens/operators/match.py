@@ -2,11 +2,12 @@
 
 Each distinct text is resolved once; a stage sees only what the stages before left.
 No stage compares all quotes with all verses: the first two are equi-joins, containment
-joins on the rarest n-gram of the contained text, similarity on n-gram prefixes.
+joins on the rarest n-gram of the contained text, similarity counts n-grams in blocks of like length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -17,15 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelens.functions.text import DIFF_TYPE, contains_arabic, find_differences, normalize_arabic, reference_text, similarity, strip
-from quotelens.operators import grams
-from quotelens.operators.skew import costly_join, hot_buckets, hot_counts, once, salted_join, tasks_for
+from quotelens.operators import grams, near
+from quotelens.operators.skew import hot_counts, once, salted_join
 from quotelens.options import ValidatorOptions
 from quotelens.plans.runtime import materialize
 
 VERSE = ("id", "surah", "ayah", "text")
 SUGGESTIONS = "array<struct<verse_id:int,reference:string,confidence:double>>"
-#: n-grams are counted in 2**GRAM_BITS buckets, the size of what is broadcast.
-GRAM_BITS = 18
 #: Containing texts of one n-gram in a tile, and pairs that a tile may have to compare.
 HAYS, TILE_PAIRS = 50_000, 2_000_000
 
@@ -112,106 +111,80 @@ def partial_matches(texts: DataFrame, corpus: DataFrame) -> DataFrame:
     return best.select("nq", "b.v", confidence.alias("confidence"))
 
 
-#: n-grams that two texts must share among their rarest ones, where they have as many.
-MEETINGS = 4
-#: Characters of a text up to which the n-grams shared are counted length by length.
-SHARED_CHARS = 4096
+#: Lengths of texts that are compared in one block: up to this ratio.
+LENGTHS = 1.25
+#: Characters of either side of a block, and products of the numbers of texts and of characters that a task takes, at most and at least.
+BLOCK_CHARS, MOST_WORK, LEAST_WORK = 12_000_000, 5e11, 2e9
 
 
-def gram_size(threshold: float) -> int:
-    """The longest n-grams (up to 3) of which texts this similar still share a good part."""
-    return next((n for n in (3, 2) if 1 - n * (1 - threshold) >= 0.3), 1)
+def _length_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(LENGTHS)) + F.lit(1e-9)).cast("int")
 
 
-def _longest(n: int, threshold: float) -> int:
-    """Characters of the longest text that can be similar to one of n."""
-    return int(n / threshold + 1e-9)
+def _block_pairs(batches: Iterator[pa.RecordBatch], threshold: float, size: int) -> Iterator[pa.RecordBatch]:
+    """(q, norm) of the blocks (block, side, n, s), one after the other: pairs that may be similar."""
 
+    def pairs(texts: tuple[list[str], list[str]]) -> Iterator[pa.RecordBatch]:
+        sides = [pa.array(x, pa.string()) for x in texts]
+        for i, j in near.near_pairs(*texts, threshold, size):
+            for k in range(0, len(i), 10_000):
+                yield pa.RecordBatch.from_arrays([side.take(pa.array(x[k : k + 10_000])) for side, x in zip(sides, (i, j), strict=True)], names=["q", "norm"])
 
-def least_shared(n: int, size: int, threshold: float) -> int:
-    """n-grams that a text of n characters shares at least with a similar one that is no
-    shorter: each edit spoils ``size`` of the longer one's."""
-    of = lambda m: m - size + 1 - size * int((1 - threshold) * m + 1e-9)
-    if n > SHARED_CHARS and size * (1 - threshold) < 1:  # grows with m, but for one edit's worth
-        return max(of(n) - size, 0)
-    return min(map(of, range(n, _longest(n, threshold) + 1)))
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], counts, threshold: float, size: int, left: bool) -> Iterator[pa.RecordBatch]:
-    """(id, n, meet, key): the necessary rarest n-grams of each text, its length, and how
-    many of them a partner shares at least.
-
-    A text so short that edits may leave no common n-gram meets its partners by length
-    instead: keys below zero, of one kind for each case of which side is short.  Only
-    texts of lengths that a short one can be similar to have such keys.
-    """
-    scaled = counts.value
-    mask = np.uint64(len(scaled) - 1)
-    short = 0  # the longest text that meets by length
-    while min(least_shared(m, size, threshold) for m in range(short + 1, short + 1 + 2 * size + 8)) < 1:
-        short += 1
-    by_length = lambda m, kind: -(1 + 3 * m + kind)
-    shared: dict[int, int] = {}
-    for ids, texts in grams.pieces(batches):
-        code, owner, length = grams.packed(texts)
-        for n in np.unique(length).tolist():
-            if n not in shared:
-                shared[n] = least_shared(n, size, threshold) if n else 0
-        share = np.array([shared[n] for n in length.tolist()], np.int64)
-        meet = np.clip(share, 1, MEETINGS)
-        text, key = grams.bags(*grams.gram_hashes(code, owner, size))
-        order = np.lexsort((key, scaled[(key & mask).astype(np.int64)], text))
-        text, key = text[order], key[order]
-        held = np.maximum(length - size + 1, 0)
-        place = np.arange(len(text)) - np.repeat(np.cumsum(held) - held, held)
-        kept = (share[text] >= 1) & (place < (held - share + meet)[text])
-        rows, keys = [text[kept]], [key[kept].view(np.int64)]
-        for k in np.flatnonzero(length <= _longest(short, threshold)).tolist():
-            n = int(length[k])
-            if share[k] >= 1:
-                own = [by_length(n, 0 if left else 1)]
-            else:
-                lengths = range(int(np.ceil(threshold * n - 1e-9)), _longest(n, threshold) + 1)
-                own = [by_length(m, 1 if left else 0) for m in lengths] + ([by_length(n, 2)] if left else [by_length(m, 2) for m in lengths])
-            rows.append(np.full(len(own), k))
-            keys.append(np.array(own, np.int64))
-        row = np.concatenate(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[row]), pa.array(length[row].astype(np.int32)), pa.array(meet[row].astype(np.int32)), pa.array(np.concatenate(keys))], names=["id", "n", "meet", "key"]
-        )
+    current, texts = None, ([], [])
+    for batch in batches:
+        block, side, s = (batch.column(c) for c in ("block", "side", "s"))
+        ends = np.flatnonzero(np.diff(block.to_numpy())) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+            if a == b:
+                continue
+            if block[a].as_py() != current:
+                yield from pairs(texts)
+                current, texts = block[a].as_py(), ([], [])
+            first = int(np.searchsorted(side.to_numpy()[a:b], 1)) + a
+            texts[0].extend(s.slice(a, first - a).to_pylist())
+            texts[1].extend(s.slice(first, b - first).to_pylist())
+    yield from pairs(texts)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, size: int | None = None) -> DataFrame:
     """(q, norm, sim): texts of ``left`` (q) and ``right`` (norm), both distinct and not
     empty, whose similarity is at least ``threshold``; nothing is lost.
 
-    Texts within d edits share all but d times ``size`` of the longer one's n-grams, so
-    the rarest of them must meet; texts too short for that meet by length.  Candidates
-    are then compared by length and by edit distance with a bound.
+    Texts are put into blocks by length, each of ``right`` into all whose texts of
+    ``left`` it can be similar to; a task takes one block and compares what shares enough
+    n-grams of up to ``size``, or 3, (``near``), so that no candidates are written.  Blocks with
+    much to do are split on either side.
     """
-    size = size or gram_size(threshold)
-    if size * (1 - threshold) >= 1:
+    if size is not None and size * (1 - threshold) >= 1:
         raise ValueError("texts of this similarity need not share any n-gram of this size")
-    sc = left.sparkSession.sparkContext
-    tasks = tasks_for(left.sparkSession)
-    named = lambda df, c: df.select(F.xxhash64(c).alias("id"), F.col(c).alias("s")).repartition(tasks, "id")
-    counted = named(left, "q").unionAll(named(right, "norm")).mapInArrow(partial(grams.count_bags, n=size, bits=GRAM_BITS), "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << GRAM_BITS, np.int64)
-    table[counted["b"].to_numpy()] = counted["n"].to_numpy()
-    counts = sc.broadcast(table)
-
-    def keyed(df: DataFrame, c: str, side: str) -> DataFrame:
-        rows = named(df, c).mapInArrow(partial(_prefixes, counts=counts, threshold=threshold, size=size, left=c == "q"), "id long, n int, meet int, key long")
-        return rows.select("key", *[F.col(x).alias(f"{side}_{x}") for x in ("id", "n", "meet")])
-
-    met = keyed(left, "q", "a").join(keyed(right, "norm", "b"), "key").where(F.least("a_n", "b_n") >= F.lit(threshold) * F.greatest("a_n", "b_n") - 1e-9)
-    # Equal ids of different texts only add candidates; every one is compared below.
-    close = met.groupBy("a_id", "b_id").agg(F.count("*").alias("hits"), F.min(F.when(F.col("key") < 0, 1).otherwise(F.least("a_meet", "b_meet"))).alias("least"))
-    pairs = materialize(close.where(F.col("hits") >= F.col("least")).select("a_id", "b_id"))
-    # Texts with very many candidates are split on either side.
-    asked = salted_join(pairs, left.select(F.xxhash64("q").alias("a_id"), "q"), ["a_id"]).select("b_id", "q")
-    known = right.select(F.xxhash64("norm").alias("b_id"), "norm")
-    return with_similarity(costly_join(asked, known, "b_id", ["q"], hot_buckets(pairs, ["b_id"])).select("q", "norm"), threshold)
+    n = F.length("s")
+    asked = left.select(F.col("q").alias("s")).withColumn("n", n).withColumn("c", _length_class(F.col("n")))
+    shortest, longest = F.greatest(F.ceil(F.lit(threshold) * F.col("n") - 1e-9), F.lit(1)), F.floor(F.col("n") / F.lit(threshold) + 1e-9)
+    known = right.select(F.col("norm").alias("s")).withColumn("n", n).withColumn("c", F.explode(F.sequence(_length_class(shortest), _length_class(longest))))
+    size_of = lambda df: {r[0]: (r[1], r[2]) for r in df.groupBy("c").agg(F.count("*"), F.sum("n")).collect()}  # noqa: E731  a row a class of lengths
+    asks, knows = size_of(asked), size_of(known)
+    work = {c: asks[c][0] * knows[c][1] for c in asks.keys() & knows.keys()}
+    one = min(MOST_WORK, max(LEAST_WORK, sum(work.values()) / (3 * left.sparkSession.sparkContext.defaultParallelism)))
+    parts, blocks = {}, 0
+    for c, done in sorted(work.items()):
+        wide = -(-knows[c][1] // BLOCK_CHARS)
+        tall = max(1, -(-asks[c][1] // BLOCK_CHARS), math.ceil(done / wide / one))
+        parts[c] = (tall, wide, blocks)
+        blocks += tall * wide
+    if not blocks:
+        return left.select("q", F.lit(None).cast("string").alias("norm"), F.lit(None).cast("double").alias("sim")).limit(0)
+    of = lambda k: F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p[k])])[F.col("c")]
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        split = df.where(F.col("c").isin(list(parts))).select("s", "n", of(0).alias("tall"), of(1).alias("wide"), of(2).alias("base"))
+        own = lambda k: F.pmod(F.xxhash64(F.lit(5), F.col("s")), F.col(k)).cast("int")
+        placed = split.select("*", own("tall").alias("i"), every("wide").alias("j")) if number == 0 else split.select("*", every("tall").alias("i"), own("wide").alias("j"))
+        return placed.select((F.col("base") + F.col("i") * F.col("wide") + F.col("j")).cast("int").alias("block"), F.lit(number).alias("side"), "n", "s")
+
+    laid = side(asked, 0).unionAll(side(known, 1)).repartition(blocks, "block").sortWithinPartitions("block", "side", "n")
+    met = laid.mapInArrow(partial(_block_pairs, threshold=threshold, size=size or 3), "q string, norm string")
+    return with_similarity(met, threshold)
 
 
 def with_similarity(pairs: DataFrame, threshold: float) -> DataFrame:
