@@ -8,7 +8,7 @@ joins on the rarest n-gram of the contained text, similarity counts n-grams in b
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -97,9 +97,8 @@ def partial_matches(texts: DataFrame, corpus: DataFrame) -> DataFrame:
     firsts = corpus.groupBy("norm").agg(F.min_by(_verse("ord"), "ord").alias("v"))
     known = firsts.where(F.col("norm") != "")
     asked = texts.where(F.col("nq") != "")
-    inside = contained_pairs(asked.select(F.col("nq").alias("needle")), known.select(F.col("norm").alias("hay"))).select(F.col("needle").alias("nq"), F.col("hay").alias("norm"), F.lit(True).alias("inside"))
-    around = contained_pairs(known.select(F.col("norm").alias("needle")), asked.select(F.col("nq").alias("hay"))).select(F.col("hay").alias("nq"), F.col("needle").alias("norm"), F.lit(False).alias("inside"))
-    found = inside.unionByName(around).join(known, "norm").select("nq", "norm", "inside", "v")
+    met = first_contained(asked, known.select("norm", F.col("v.ord").alias("ord")))
+    found = met.join(known, "norm").select("nq", "norm", "inside", "v")
     first = corpus.agg(F.min_by(F.struct("norm", _verse("ord").alias("v")), "ord").alias("f")).where(F.col("f").isNotNull()).select("f.*")  # one row
     blank = firsts.where(F.col("norm") == "")  # one row at most
     one = F.lit(1).alias("one")
@@ -115,21 +114,33 @@ def partial_matches(texts: DataFrame, corpus: DataFrame) -> DataFrame:
 LENGTHS = 1.25
 #: Characters of either side of a block, and products of the numbers of texts and of characters that a task takes, at most and at least.
 BLOCK_CHARS, MOST_WORK, LEAST_WORK = 12_000_000, 5e11, 2e9
+#: Characters of texts below which a block is not split for more tasks, where containment is looked for.
+LEAST_CHARS = 200_000
 
 
 def _length_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(LENGTHS)) + F.lit(1e-9)).cast("int")
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], threshold: float, size: int) -> Iterator[pa.RecordBatch]:
-    """(q, norm) of the blocks (block, side, n, s), one after the other: pairs that may be similar."""
+def _similar(texts: tuple[list[str], list[str]], threshold: float, size: int) -> Iterator[pa.RecordBatch]:
+    """(q, norm) of one block: pairs that may be similar."""
+    sides = [pa.array(x, pa.string()) for x in texts]
+    for i, j in near.near_pairs(*texts, threshold, size):
+        for k in range(0, len(i), 10_000):
+            yield pa.RecordBatch.from_arrays([side.take(pa.array(x[k : k + 10_000])) for side, x in zip(sides, (i, j), strict=True)], names=["q", "norm"])
 
-    def pairs(texts: tuple[list[str], list[str]]) -> Iterator[pa.RecordBatch]:
-        sides = [pa.array(x, pa.string()) for x in texts]
-        for i, j in near.near_pairs(*texts, threshold, size):
-            for k in range(0, len(i), 10_000):
-                yield pa.RecordBatch.from_arrays([side.take(pa.array(x[k : k + 10_000])) for side, x in zip(sides, (i, j), strict=True)], names=["q", "norm"])
 
+def _contained(texts: tuple[list[str], list[str]]) -> Iterator[pa.RecordBatch]:
+    """(nq, norm, inside) of one block: the first text that contains another or stands in it."""
+    asked, known = texts
+    found = list(near.first_contained(asked, known)) if asked and known else []
+    for k in range(0, len(found), 10_000):
+        i, j, inside = zip(*found[k : k + 10_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([asked[x] for x in i], pa.string()), pa.array([known[x] for x in j], pa.string()), pa.array(inside)], names=["nq", "norm", "inside"])
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], work: Callable[[tuple[list[str], list[str]]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``work`` on the two sides of each block (block, side, n, s), one block after the other."""
     current, texts = None, ([], [])
     for batch in batches:
         block, side, s = (batch.column(c) for c in ("block", "side", "s"))
@@ -138,12 +149,38 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], threshold: float, size: int)
             if a == b:
                 continue
             if block[a].as_py() != current:
-                yield from pairs(texts)
+                yield from work(texts)
                 current, texts = block[a].as_py(), ([], [])
             first = int(np.searchsorted(side.to_numpy()[a:b], 1)) + a
             texts[0].extend(s.slice(a, first - a).to_pylist())
             texts[1].extend(s.slice(first, b - first).to_pylist())
-    yield from pairs(texts)
+    yield from work(texts)
+
+
+def _laid_out(asked: DataFrame, known: DataFrame, parts: dict[int, tuple[int, int, int]], blocks: int) -> DataFrame:
+    """(block, side, n, s) of both sides (c, n, s), sorted: class c is cut into ``parts``
+    (tall, wide, first block), by texts of ``asked`` and of ``known``."""
+    of = lambda k: F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p[k])])[F.col("c")]
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    own = lambda k: F.pmod(F.xxhash64(F.lit(5), F.col("s")), F.col(k)).cast("int")
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        split = df.where(F.col("c").isin(list(parts))).select("s", "n", of(0).alias("tall"), of(1).alias("wide"), of(2).alias("base"))
+        placed = split.select("*", own("tall").alias("i"), every("wide").alias("j")) if number == 0 else split.select("*", every("tall").alias("i"), own("wide").alias("j"))
+        return placed.select((F.col("base") + F.col("i") * F.col("wide") + F.col("j")).cast("int").alias("block"), F.lit(number).alias("side"), F.col("n").cast("long").alias("n"), "s")
+
+    return side(asked, 0).unionAll(side(known, 1)).repartition(blocks, "block").sortWithinPartitions("block", "side", "n")
+
+
+def first_contained(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(nq, norm, inside): for texts of ``asked`` (nq) the first of ``known`` (norm, ord) of
+    each block that contains the text (inside) or stands in it; all distinct, none empty."""
+    left = asked.select(F.col("nq").alias("s"), F.length("nq").alias("n"), F.lit(0).alias("c"))
+    right = known.select(F.col("norm").alias("s"), F.col("ord").alias("n"), F.lit(0).alias("c"))
+    asks, knows = (df.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0] for df in (left, right))
+    wide = max(1, -(-knows // BLOCK_CHARS))
+    tall = max(1, -(-asks // BLOCK_CHARS), min(2 * asked.sparkSession.sparkContext.defaultParallelism, asks // LEAST_CHARS))
+    return _laid_out(left, right, {0: (tall, wide, 0)}, tall * wide).mapInArrow(partial(_by_block, work=_contained), "nq string, norm string, inside boolean")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, size: int | None = None) -> DataFrame:
@@ -173,17 +210,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, size: int
         blocks += tall * wide
     if not blocks:
         return left.select("q", F.lit(None).cast("string").alias("norm"), F.lit(None).cast("double").alias("sim")).limit(0)
-    of = lambda k: F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p[k])])[F.col("c")]
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-
-    def side(df: DataFrame, number: int) -> DataFrame:
-        split = df.where(F.col("c").isin(list(parts))).select("s", "n", of(0).alias("tall"), of(1).alias("wide"), of(2).alias("base"))
-        own = lambda k: F.pmod(F.xxhash64(F.lit(5), F.col("s")), F.col(k)).cast("int")
-        placed = split.select("*", own("tall").alias("i"), every("wide").alias("j")) if number == 0 else split.select("*", every("tall").alias("i"), own("wide").alias("j"))
-        return placed.select((F.col("base") + F.col("i") * F.col("wide") + F.col("j")).cast("int").alias("block"), F.lit(number).alias("side"), "n", "s")
-
-    laid = side(asked, 0).unionAll(side(known, 1)).repartition(blocks, "block").sortWithinPartitions("block", "side", "n")
-    met = laid.mapInArrow(partial(_block_pairs, threshold=threshold, size=size or 3), "q string, norm string")
+    met = _laid_out(asked, known, parts, blocks).mapInArrow(partial(_by_block, work=partial(_similar, threshold=threshold, size=size or 3)), "q string, norm string")
     return with_similarity(met, threshold)
 
 

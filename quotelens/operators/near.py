@@ -1,4 +1,5 @@
-"""Pairs of similar texts of two blocks, by counting the n-grams that they share.
+"""Pairs of similar texts of two blocks, by counting the n-grams that they share, and texts
+that stand in one another, by the rarest of them.
 
 Texts within d edits share all but d times n of the longer one's n-grams, so a text is
 looked up by its rarest ones until those that are left cannot make up for it.  What
@@ -64,8 +65,9 @@ def numbered(keys: np.ndarray) -> np.ndarray:
     return keys
 
 
-def gram_keys(texts: list[str], size: int) -> np.ndarray:
-    """(n-gram, text) of all n-grams in one number each, sorted."""
+def gram_keys(texts: list[str], size: int, each: bool = True) -> np.ndarray:
+    """(n-gram, text) of all n-grams in one number each, sorted; without ``each``, n-grams
+    that a text has several times count once."""
     found, at, chars = [], 0, 0
     for k, t in enumerate(texts):
         chars += len(t)
@@ -76,7 +78,7 @@ def gram_keys(texts: list[str], size: int) -> np.ndarray:
             at, chars = k + 1, 0
     keys = np.concatenate(found) if found else np.empty(0, np.int64)
     keys.sort()
-    return numbered(keys)
+    return numbered(keys) if each else keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
 def letters(texts: list[str], own: np.ndarray) -> np.ndarray:
@@ -193,3 +195,81 @@ def near_pairs(left: list[str], right: list[str], threshold: float, largest: int
                     a, b, met, slack, total = [], [], [], [], 0
         if a:
             yield close(a, b, met, slack, size)
+
+
+def first_contained(asked: list[str], known: list[str]) -> Iterator[tuple[int, int, bool]]:
+    """Of each text of ``asked`` that stands in one of ``known``, or in which one stands: its
+    place, the place of the first such text, and whether ``asked`` is the one inside.  No
+    text is empty, and no two of one side are equal.
+
+    A text is looked for by its rarest n-gram (n = 3, or its length): among the texts of
+    ``known`` that have it, and, the other way round, where it turns up in ``asked``; then
+    its next rarest ones must be there too.
+    """
+    short = {len(t) for t in asked + known if len(t) < 3}
+    sizes = (*sorted(short), 3)
+    keys = {n: gram_keys(known, n, False) for n in sizes}
+    held = {n: (keys[n] & 0xFFFFFFFF).astype(np.int32) for n in sizes}
+    often = {n: np.bincount(keys[n] >> 32, minlength=1 << BITS) for n in sizes}
+    length = np.fromiter(map(len, known), np.int64, len(known))
+    anchors = {}  # by size: grams in order, their texts, and two more grams of each text
+    for n in sizes:
+        mine, found = np.flatnonzero(length == n if n < 3 else length >= 3), []
+        for at in range(0, len(mine), 20_000):
+            some = mine[at : at + 20_000]
+            own = gram_keys([known[k] for k in some.tolist()], n, False)
+            gram, text = own >> 32, own & 0xFFFFFFFF
+            order = np.lexsort((often[n][gram], text))
+            gram, text = gram[order], text[order]
+            first, last = np.searchsorted(text, np.arange(len(some))), np.searchsorted(text, np.arange(len(some)), side="right") - 1
+            found.append((gram[first], some, gram[np.minimum(first + 1, last)], gram[np.minimum(first + 2, last)]))
+        if found:
+            each = [np.concatenate(x) for x in zip(*found, strict=True)]
+            by = np.argsort(each[0], kind="stable")
+            anchors[n] = tuple(x[by] for x in each)
+    seen = {n: np.zeros(1 << BITS, bool) for n in anchors}
+    for at in range(0, len(asked), 1000):
+        some = asked[at : at + 1000]
+        own = {n: gram_keys(some, n, False) for n in sizes}
+        bounds = {}
+        for n, k in own.items():
+            order = np.argsort(k & 0xFFFFFFFF, kind="stable")
+            gram, text = k[order] >> 32, k[order] & 0xFFFFFFFF
+            bounds[n] = (gram, np.searchsorted(text, np.arange(len(some) + 1)).tolist())
+        for i, t in enumerate(some):
+            best, inside = len(known), False
+            n = min(len(t), 3)
+            gram, cut = bounds[n]
+            gram = gram[cut[i] : cut[i + 1]]
+            gram = gram[np.argsort(often[n][gram], kind="stable")[:3]]
+            start, stop = np.searchsorted(keys[n], gram << 32).tolist(), np.searchsorted(keys[n], gram + 1 << 32).tolist()
+            met = held[n][start[0] : stop[0]]
+            for a, b in zip(start[1:], stop[1:], strict=True):
+                if len(met) > 8:
+                    other = held[n][a:b]
+                    place = np.searchsorted(other, met)
+                    met = met[(place < len(other)) & (other[np.minimum(place, max(len(other) - 1, 0))] == met)] if len(other) else met[:0]
+            for k in met.tolist():
+                if t in known[k]:
+                    best, inside = k, True
+                    break
+            for n, (grams, texts, second, third) in anchors.items():
+                if n > len(t):
+                    continue
+                gram, cut = bounds[n]
+                gram = gram[cut[i] : cut[i + 1]]
+                start, stop = np.searchsorted(grams, gram), np.searchsorted(grams, gram, side="right")
+                some_of = [(a, b) for a, b in zip(start.tolist(), stop.tolist(), strict=True) if a < b]
+                if not some_of:
+                    continue
+                seen[n][gram] = True
+                place = np.concatenate([np.arange(a, b) for a, b in some_of])
+                place = place[seen[n][second[place]] & seen[n][third[place]]]
+                seen[n][gram] = False
+                place = texts[place]
+                for k in np.sort(place[(length[place] <= len(t)) & (place < best)]).tolist():
+                    if known[k] in t:
+                        best, inside = k, False
+                        break
+            if best < len(known):
+                yield at + i, best, inside
