@@ -179,7 +179,7 @@ def first_contained(asked: DataFrame, known: DataFrame) -> DataFrame:
     right = known.select(F.col("norm").alias("s"), F.col("ord").alias("n"), F.lit(0).alias("c"))
     asks, knows = (df.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0] for df in (left, right))
     wide = max(1, -(-knows // BLOCK_CHARS))
-    tall = max(1, -(-asks // BLOCK_CHARS), min(2 * asked.sparkSession.sparkContext.defaultParallelism, asks // LEAST_CHARS))
+    tall = max(1, -(-asks // BLOCK_CHARS), min(-(-2 * asked.sparkSession.sparkContext.defaultParallelism // wide), asks // LEAST_CHARS))
     return _laid_out(left, right, {0: (tall, wide, 0)}, tall * wide).mapInArrow(partial(_by_block, work=_contained), "nq string, norm string, inside boolean")
 
 
@@ -250,14 +250,16 @@ def resolve(texts: DataFrame, corpus: DataFrame, opts: ValidatorOptions = Valida
     gated = texts.where(contains_arabic(F.col("q"))).withColumn("nq", normalize_arabic(F.col("q")))
     exact = exact_verses(corpus).select(F.col("text").alias("q"), F.col("v").alias("exact_v"))
     normal = normalized_verses(corpus, opts.max_suggestions).select(F.col("norm").alias("nq"), F.col("v").alias("normal_v"), "suggestions")
-    first = materialize(gated.join(exact, "q", "left").join(normal, "nq", "left"))
     none = F.array().cast(SUGGESTIONS)
     kind = F.when(F.col("exact_v").isNotNull(), "exact").when(F.col("normal_v").isNotNull(), "normalized")
-    early = first.where(kind.isNotNull()).select(
-        "q", kind.alias("match_type"), F.when(kind == "exact", 1.0).otherwise(0.95).alias("confidence"), F.coalesce("exact_v", "normal_v").alias("v"),
-        F.when(kind == "exact", none).otherwise(F.col("suggestions")).alias("suggestions"),
-    )
-    left = first.where(kind.isNull()).select("q", "nq")
+    # Only what is still needed is written: a resolved text's verse once, the normalized form of the others.
+    first = materialize(gated.join(exact, "q", "left").join(normal, "nq", "left").select(
+        "q", F.when(kind.isNull(), F.col("nq")).alias("nq"), kind.alias("match_type"), F.coalesce("exact_v", "normal_v").alias("v"),
+        F.when(kind == "normalized", F.col("suggestions")).alias("suggestions"),
+    ))
+    resolved = F.col("match_type").isNotNull()
+    early = first.where(resolved).select("q", "match_type", F.when(F.col("match_type") == "exact", 1.0).otherwise(0.95).alias("confidence"), "v", F.coalesce("suggestions", none).alias("suggestions"))
+    left = first.where(~resolved).select("q", "nq")
     asked = left.select("nq").distinct()
     stages = []
     if opts.include_partial:

@@ -107,7 +107,8 @@ def contextual_spans(text: Column, tagged: Column) -> Column:
             joined,
             lambda z: F.struct(F.lit(None).cast("string").alias("ref"), T.strip(z["r"]).alias("text"), z["m"]["end"].alias("start"), (z["m"]["end"] + F.length(z["r"])).alias("end"), F.lit(None).cast("string").alias("full")),
         )
-        out.append(F.filter(found, lambda x: (F.length(x["text"]) >= CONTEXT_CHARS) & ~F.exists(tagged, lambda r: _overlaps(x["start"], x["end"], r))))
+        kept = F.filter(found, lambda x: (F.length(x["text"]) >= CONTEXT_CHARS) & ~F.exists(tagged, lambda r: _overlaps(x["start"], x["end"], r)))
+        out.append(F.when(text.rlike(rf"(?:{trigger})"), kept).otherwise(_none()))
     return F.concat(*out)
 
 
