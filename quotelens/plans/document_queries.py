@@ -51,8 +51,8 @@ def detected_flag(spark: SparkSession, d: str) -> DataFrame:
 
 def validate_quote(spark: SparkSession, d: str) -> DataFrame:
     """Every quote against the reference it was given."""
-    q = table(spark, d, "quotes").select("quote_id", F.col("original").alias("text"), F.col("reference").alias("expected_ref")).distinct().where(F.col("text").isNotNull())
-    return Q.validate_quotes(q, M.corpus_of(spark, d)).select("quote_id", "is_valid", "correct_text", "actual_ref")
+    q = table(spark, d, "quotes").select("quote_id", F.col("original").alias("text"), F.col("reference").alias("expected_ref")).where(F.col("text").isNotNull())
+    return Q.validate_quotes(q, M.corpus_of(spark, d), distinct=True).select("quote_id", "is_valid", "correct_text", "actual_ref")
 
 
 def _processed(spark: SparkSession, d: str, fmt: str = "xml", **opts: bool) -> DataFrame:

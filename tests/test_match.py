@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +9,10 @@ from pyspark.sql import functions as F
 
 from quotelens.operators import lookup, match
 from quotelens.operators.distance import distances, padded
+from quotelens.operators.skew import salted_join
 from quotelens.options import ValidatorOptions
+from quotelens.plans import runtime
+from quotelens.plans.runtime import materialize, materialize_packed, release
 from quotelens.sources.corpus import prepared
 from tests import spec
 
@@ -158,3 +163,41 @@ def test_marked_text_with_extra_columns(spark):
     assert tuple(r) == (1, "x", 5, "old", "exact", 1.0, 0)
     many = df.unionAll(df).crossJoin(spark.range(400)).select("k", "text", "m")
     assert match.validate(many, corpus_of(spark, rows), with_differences=False).where("is_valid").count() == 800
+
+
+def test_shuffle_files_of_a_finished_step_are_removed(spark):
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    release(spark)
+    time.sleep(1)
+    before = kept.size()
+    for k in range(3):
+        assert materialize(spark.range(1000).groupBy((F.col("id") % (7 + k)).alias("m")).count()).count() == 7 + k
+    release(spark)
+    time.sleep(1)
+    assert kept.size() <= before + 1  # the last count
+
+
+def test_packed_tables_read_back_whole_and_small(spark):
+    rows = [(k, None if k % 5 == 0 else "نور بعيد " * 40, [(k, None), (None, "ب")] if k % 3 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t string, a array<struct<x:int,y:string>>")
+    got = materialize_packed(df)
+    assert got.schema == df.schema and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    assert materialize_packed(df.limit(0)).collect() == []
+    assert sum(len(r.rows) for r in df.mapInArrow(runtime._packed, "rows binary").collect()) < 3000 * 100
+
+
+def test_equal_rows_count_once_in_the_shuffle_of_a_join(spark):
+    big = spark.createDataFrame([(k % 40, "a" if k % 4 else "b") for k in range(400)], "id int, k string")
+    small = spark.createDataFrame([("a", 1)], "k string, v int")
+    want = sorted((k % 40, 1 if k % 4 else None) for k in range(40))
+    for rows in (10, 1000):
+        got = salted_join(big, small, ["k"], "left", rows_per_part=rows, distinct=True)
+        assert sorted((r.id, r.v) for r in got.collect()) == sorted(want)
+        assert len(re.findall("Exchange hash", got._jdf.queryExecution().executedPlan().initialPlan().toString())) <= 2
+
+
+def test_validation_of_distinct_rows(spark):
+    rows = verses()
+    df = spark.createDataFrame([(1, rows[0][3]), (1, rows[0][3]), (2, rows[0][3])], "k int, text string")
+    got = match.validate(df, corpus_of(spark, rows), with_differences=False, distinct=True).collect()
+    assert sorted((r.k, r.match_type) for r in got) == [(1, "exact"), (2, "exact")]
