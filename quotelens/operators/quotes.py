@@ -18,7 +18,7 @@ from quotelens.operators import match
 from quotelens.operators.lookup import verse_ranges
 from quotelens.operators.skew import once, salted_join
 from quotelens.options import TAG_FORMATS, ProcessorOptions, ValidatorOptions
-from quotelens.plans.runtime import materialize
+from quotelens.plans.runtime import materialize, materialize_packed
 
 RUN = f"[{A_JAVA}{WS_JAVA}]"
 REF = r"\p{Nd}+:\p{Nd}+(?:-\p{Nd}+)?"
@@ -236,7 +236,7 @@ def detect(docs: DataFrame, corpus: DataFrame, opts: ValidatorOptions = Validato
     """(doc_id, text, start, end, verdict columns): every Arabic segment of documents
     (doc_id, text) of at least ``min_detection_length`` characters, matched or not."""
     segments = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(T.arabic_segments(F.col("text"))).alias("s"))
-    long = materialize(segments.select("doc_id", "s.text", "s.start", "s.end").where(F.length("text") >= opts.min_detection_length))
+    long = materialize_packed(segments.select("doc_id", "s.text", "s.start", "s.end").where(F.length("text") >= opts.min_detection_length))
     return match.validate(long, corpus, opts, with_differences=False)
 
 
