@@ -18,7 +18,7 @@ from quotelens.operators import match
 from quotelens.operators.lookup import verse_ranges
 from quotelens.operators.skew import once, salted_join
 from quotelens.options import TAG_FORMATS, ProcessorOptions, ValidatorOptions
-from quotelens.plans.runtime import materialize, materialize_packed
+from quotelens.plans.runtime import materialize_packed
 
 RUN = f"[{A_JAVA}{WS_JAVA}]"
 REF = r"\p{Nd}+:\p{Nd}+(?:-\p{Nd}+)?"
@@ -121,10 +121,15 @@ def untagged_spans(text: Column) -> Column:
     return F.filter(found, lambda s: F.length(s["text"]) >= UNTAGGED_CHARS)
 
 
+def _with_tagged(docs: DataFrame, fmt: str) -> DataFrame:
+    """(doc_id, text, tagged): documents with their tagged and inline spans."""
+    tags = docs.select("doc_id", "text", once(tagged_spans(F.col("text"), fmt)).alias("tags"))
+    return tags.select("doc_id", "text", once(F.concat("tags", inline_spans(F.col("text"), F.col("tags")))).alias("tagged"))
+
+
 def laid_out(docs: DataFrame, opts: ProcessorOptions) -> DataFrame:
-    """(doc_id, stage, n, ref, text, start, end, full): all spans of documents (doc_id, text)."""
-    tags = docs.select("doc_id", "text", once(tagged_spans(F.col("text"), opts.tag_format)).alias("tags"))
-    tagged = tags.select("doc_id", "text", once(F.concat("tags", inline_spans(F.col("text"), F.col("tags")))).alias("tagged"))
+    """(doc_id, stage, n, ref, text, start, end): all spans of documents (doc_id, text)."""
+    tagged = _with_tagged(docs, opts.tag_format)
     untagged = untagged_spans(F.col("text")) if opts.scan_untagged else _none()
     stages = F.array(
         F.struct(F.lit(0).alias("stage"), F.col("tagged").cast(SPANS).alias("spans")),
@@ -132,12 +137,12 @@ def laid_out(docs: DataFrame, opts: ProcessorOptions) -> DataFrame:
         F.struct(F.lit(2).alias("stage"), untagged.cast(SPANS).alias("spans")),
     )
     rows = tagged.select("doc_id", F.explode(stages).alias("s")).select("doc_id", "s.stage", F.posexplode("s.spans").alias("n", "x"))
-    return rows.select("doc_id", "stage", "n", "x.*")
+    return rows.select("doc_id", "stage", "n", "x.ref", "x.text", "x.start", "x.end")
 
 
 def analyzed(spans: DataFrame, corpus: DataFrame) -> DataFrame:
     """``spans`` with is_valid, corrected, reference, confidence and was_corrected."""
-    parsed = spans.withColumn("p", once(T.parse_reference(F.col("ref"))))
+    parsed = materialize_packed(spans.withColumn("p", once(T.parse_reference(F.col("ref")))))
     ranged = F.coalesce(F.col("p.is_range") & (F.col("p.end_ayah") != 0), F.lit(False))
     keep = spans.columns
     single = match.validate(parsed.where(~ranged).select(*keep), corpus, ValidatorOptions(), with_differences=False)
@@ -177,16 +182,16 @@ def process(docs: DataFrame, corpus: DataFrame, opts: ProcessorOptions = Process
     a kept quote.  Corrections replace the first occurrence in the text as it then is.  A
     document without quotes is valid; a null text stays null with no quotes.
     """
-    rows = analyzed(materialize(laid_out(docs.select("doc_id", "text").where(F.col("text").isNotNull()), opts)), corpus)
+    rows = analyzed(laid_out(docs.select("doc_id", "text").where(F.col("text").isNotNull()), opts), corpus)
     quote = F.struct(
         "stage", "n", F.col("text").alias("original"), "corrected", "is_valid", "reference", "confidence",
         F.element_at(F.array(F.lit("tagged"), F.lit("contextual"), F.lit("fuzzy")), F.col("stage") + 1).alias("detection_method"),
         F.col("start").alias("start_index"), F.col("end").alias("end_index"), "was_corrected",
-        F.coalesce("full", "text").alias("old"), F.when(F.col("stage") == 0, T.tagged(opts.tag_format, F.col("reference"), F.col("corrected"))).otherwise(F.col("corrected")).alias("new"),
     )
     confident = F.coalesce(F.col("confidence") >= F.lit(float(opts.min_confidence)), F.lit(False))
     kept = rows.where((F.col("stage") == 0) | (F.col("stage") == 1) & (F.col("is_valid") | confident) | (F.col("stage") == 2) & confident)
-    grouped = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(quote)).alias("q"))
+    # Written, so that the shuffles of the cascade are gone before those of the documents.
+    grouped = materialize_packed(kept).groupBy("doc_id").agg(F.array_sort(F.collect_list(quote)).alias("q"))
     first = grouped.withColumn("early", once(F.filter("q", lambda x: x["stage"] < 2)))
 
     def shadowed(x: Column) -> Column:
@@ -196,8 +201,14 @@ def process(docs: DataFrame, corpus: DataFrame, opts: ProcessorOptions = Process
     joined = docs.select("doc_id", "text").join(final, "doc_id", "left")
     shape = final.schema["q"].dataType
     held = joined.withColumn("q", F.coalesce("q", F.array().cast(shape)))
-    fixed = F.aggregate(F.filter("q", lambda x: x["was_corrected"]), F.col("text"), lambda acc, x: T.replace_first(acc, x["old"], x["new"])) if opts.auto_correct else F.col("text")
-    shown = F.transform("q", lambda x: x.dropFields("stage", "n", "old", "new"))
+
+    def replaced(acc: Column, x: Column) -> Column:
+        old = F.when(x["stage"] == 0, F.substring(F.col("text"), x["start_index"] + 1, x["end_index"] - x["start_index"])).otherwise(x["original"])
+        new = F.when(x["stage"] == 0, T.tagged(opts.tag_format, x["reference"], x["corrected"])).otherwise(x["corrected"])
+        return T.replace_first(acc, old, new)
+
+    fixed = F.aggregate(F.filter("q", lambda x: x["was_corrected"]), F.col("text"), replaced) if opts.auto_correct else F.col("text")
+    shown = F.transform("q", lambda x: x.dropFields("stage", "n"))
     return held.select(
         "doc_id", fixed.alias("corrected_text"), F.forall("q", lambda x: x["is_valid"] & ~x["was_corrected"]).alias("all_valid"), shown.alias("quotes"),
         F.transform(F.filter("q", lambda x: x["stage"] == 2), _warning).alias("warnings"),

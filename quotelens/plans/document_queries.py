@@ -19,7 +19,7 @@ _OPEN = {"xml": ('<quran ref="', '">', "</quran> "), "markdown": ('```quran ref=
 def documents_of(spark: SparkSession, d: str, fmt: str = "xml") -> DataFrame:
     """(doc_id, text): each output's quotes in order, tagged, announced or bare by their
     detection method."""
-    q = table(spark, d, "quotes").select("output_id", "quote_id", "original", "reference", "detection_method").distinct().where(F.col("original").isNotNull())
+    q = table(spark, d, "quotes").select("output_id", "quote_id", "original", "reference", "detection_method").where(F.col("original").isNotNull()).repartition("output_id").distinct()
     ref = F.coalesce("reference", F.lit("1:1"))
     a, b, c = (F.lit(x) for x in _OPEN[fmt])
     piece = (
