@@ -215,6 +215,22 @@ def process(docs: DataFrame, corpus: DataFrame, opts: ProcessorOptions = Process
     )
 
 
+def range_quotes(docs: DataFrame, corpus: DataFrame, fmt: str = "xml") -> DataFrame:
+    """(doc_id, original, corrected, is_valid, reference, start_index, end_index,
+    was_corrected, confidence): tagged quotes of documents (doc_id, text) whose reference
+    in the end has a hyphen, as ``process`` gives them.
+
+    Tagged quotes are kept whatever else a document has, so only they are resolved, and of
+    them only those that name a range, unless the corpus itself has negative places.
+    """
+    tagged = _with_tagged(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), fmt)
+    spans = tagged.select("doc_id", F.explode("tagged").alias("x")).select("doc_id", "x.ref", "x.text", "x.start", "x.end")
+    if corpus.where(T.reference_text(F.col("surah"), F.col("ayah")).contains("-")).isEmpty():
+        spans = spans.where(F.col("ref").contains("-"))
+    rows = analyzed(spans, corpus).where(F.col("reference").contains("-"))
+    return rows.select("doc_id", F.col("text").alias("original"), "corrected", "is_valid", "reference", F.col("start").alias("start_index"), F.col("end").alias("end_index"), "was_corrected", "confidence")
+
+
 def quick_validate(docs: DataFrame, corpus: DataFrame) -> DataFrame:
     """(doc_id, has_quran_content, all_valid, issues) without correcting anything."""
     done = process(docs, corpus, ProcessorOptions(auto_correct=False))
@@ -265,4 +281,4 @@ def all_spans(docs: DataFrame, fmt: str) -> DataFrame:
     return both.select("doc_id", "b.how", F.explode("b.x").alias("s")).select("doc_id", "how", "s.ref", "s.text", "s.start", "s.end")
 
 
-__all__ = ["all_spans", "analyzed", "detect", "detected", "process", "quick_validate", "system_prompt", "validate_quotes"]
+__all__ = ["all_spans", "analyzed", "detect", "detected", "process", "quick_validate", "range_quotes", "system_prompt", "validate_quotes"]

@@ -81,8 +81,8 @@ def _by_method(method: str):
 
 def range_quotes(spark: SparkSession, d: str) -> DataFrame:
     """Tagged quotes that name a range of verses, compared with the whole range."""
-    rows = _by_method("tagged")(spark, d)
-    return rows.where(F.col("reference").contains("-"))
+    rows = Q.range_quotes(documents_of(spark, d), M.corpus_of(spark, d))
+    return rows.withColumn("confidence", F.round("confidence", 9))
 
 
 def quick_validate_issues(spark: SparkSession, d: str) -> DataFrame:

@@ -75,3 +75,19 @@ def test_quick_validate_and_detection(spark, corpus):
     seen = {r.doc_id: (r.n_segments, r.detected) for r in Q.detected(df, corpus).collect()}
     assert seen == {1: (1, True), 2: (0, False), 3: (1, False), 4: (0, False)}
     assert set(Q.PROMPTS) == {"xml", "markdown", "bracket", "minimal"} and Q.system_prompt()
+
+
+def test_ranges_are_resolved_without_the_other_quotes(spark, corpus, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(documents())), "doc_id long, text string")
+    names = ("original", "corrected", "is_valid", "reference", "start_index", "end_index", "was_corrected", "confidence")
+    want = [(r.doc_id, *(q[n] for n in names)) for r in Q.process(df, corpus).collect() for q in r.quotes if q.detection_method == "tagged" and "-" in q.reference]
+    asked, validate = [], Q.match.validate
+
+    def seen(quotes, *more, **named):
+        asked.extend(r.ref for r in quotes.collect())
+        return validate(quotes, *more, **named)
+
+    monkeypatch.setattr(Q.match, "validate", seen)
+    got = [(r.doc_id, *(r[n] for n in names)) for r in Q.range_quotes(df, corpus).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 3
+    assert asked and all("-" in ref for ref in asked)
