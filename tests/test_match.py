@@ -201,3 +201,16 @@ def test_validation_of_distinct_rows(spark):
     df = spark.createDataFrame([(1, rows[0][3]), (1, rows[0][3]), (2, rows[0][3])], "k int, text string")
     got = match.validate(df, corpus_of(spark, rows), with_differences=False, distinct=True).collect()
     assert sorted((r.k, r.match_type) for r in got) == [(1, "exact"), (2, "exact")]
+
+
+@pytest.mark.parametrize("partial", [True, False])
+def test_verdicts_without_suggestions_and_texts(spark, partial, monkeypatch):
+    rows = verses(60, 5)
+    df = spark.createDataFrame(list(enumerate([*quotes(rows), rows[3][3] + " "])), "k int, text string")
+    opts, shown = ValidatorOptions(include_partial=partial), ("k", "text", "is_valid", "match_type", "confidence", "verse_id", "reference")
+    want = match.validate(df, corpus_of(spark, rows), opts).select(*shown).collect()
+    asked, similar = [], match.similar_pairs
+    monkeypatch.setattr(match, "similar_pairs", lambda a, b, threshold: asked.append(threshold) or similar(a, b, threshold))
+    got = match.validate(df, corpus_of(spark, rows), opts, distinct=True, with_suggestions=False, with_text=False)
+    assert got.columns == list(shown) and asked == [opts.fuzzy_threshold]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want)) and any(r.match_type == "fuzzy" for r in want)
