@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotelens.sources import corpus as C
-from quotelens.streaming.validate import start_validation, stream_validate
+from quotelens.streaming.validate import parquet_stream, start_validation, stream_validate
 
 
 def test_json_sources_fall_back_and_fill_defaults(spark, tmp_path):
@@ -71,3 +71,14 @@ def test_stream_equals_batch(spark, tmp_path):
     source = spark.readStream.schema("quote_id long, original string").parquet(f"{tmp_path}/q").selectExpr("quote_id", "original AS text")
     start_validation(source, corpus, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_a_stream_for_short_verdicts_writes_no_texts(spark, tmp_path):
+    rows = [(1, 1, 1, "نور بعيد قريب", "", 0, 0, 1)]
+    corpus = C.prepared(spark.createDataFrame(rows, "id int, surah int, ayah int, text string, text_simple string, page int, juz int, ord int"))
+    quotes = [(1, "نور بعيد قريب"), (1, "نور بعيد قريب"), (1, " نور بعيد قريب"), (2, "نور بعيد قربب"), (3, "قلم")]
+    spark.createDataFrame(quotes, "quote_id long, text string").write.parquet(f"{tmp_path}/q")
+    start_validation(parquet_stream(spark, f"{tmp_path}/q"), corpus, f"{tmp_path}/out", f"{tmp_path}/progress", short=True).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").drop("batch_id")
+    assert got.columns == ["quote_id", "is_valid", "match_type", "confidence", "verse_id", "reference"]
+    assert {(r.quote_id, r.match_type, r.reference) for r in got.collect()} == {(1, "exact", "1:1"), (2, "fuzzy", "1:1"), (3, "none", None)}
