@@ -72,26 +72,25 @@ def _none() -> Column:
     return F.array().cast(SPANS)
 
 
+def _in_parts(w: Column, pattern: str, ref: int, body: int) -> Column:
+    """A match with its reference and body, from the match alone: it is found again there
+    in the same way, since the patterns do not look at what follows them."""
+    part = lambda g: F.regexp_extract(w["text"], pattern, g)
+    return F.struct(part(ref).alias("ref"), T.strip(part(body)).alias("text"), w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("full"))
+
+
 def tagged_spans(text: Column, fmt: str) -> Column:
     """Quotes in tags, in order."""
     if fmt not in TAG_FORMATS:
         raise KeyError(fmt)
     pattern = TAGS[fmt]
-    whole = T.spans(text, pattern)
-    refs = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    joined = F.arrays_zip(whole.alias("w"), refs.alias("r"), bodies.alias("b"))
-    return F.transform(joined, lambda z: F.struct(z["r"].alias("ref"), T.strip(z["b"]).alias("text"), z["w"]["start"].alias("start"), z["w"]["end"].alias("end"), z["w"]["text"].alias("full")))
+    return F.transform(T.spans(text, pattern), lambda w: _in_parts(w, pattern, 1, 2))
 
 
 def inline_spans(text: Column, tagged: Column) -> Column:
     """Arabic with a reference in brackets after it, unless it begins inside a tag.  Blanks
     alone before the brackets count, with an empty text."""
-    whole = T.spans(text, INLINE)
-    bodies = F.regexp_extract_all(text, F.lit(INLINE), F.lit(1))
-    refs = F.regexp_extract_all(text, F.lit(INLINE), F.lit(2))
-    joined = F.arrays_zip(whole.alias("w"), refs.alias("r"), bodies.alias("b"))
-    found = F.transform(joined, lambda z: F.struct(z["r"].alias("ref"), T.strip(z["b"]).alias("text"), z["w"]["start"].alias("start"), z["w"]["end"].alias("end"), z["w"]["text"].alias("full")))
+    found = F.transform(T.spans(text, INLINE), lambda w: _in_parts(w, INLINE, 2, 1))
     return F.filter(found, lambda x: ~F.exists(tagged, lambda r: _inside(x["start"], r)))
 
 
@@ -127,8 +126,9 @@ def _with_tagged(docs: DataFrame, fmt: str) -> DataFrame:
     return tags.select("doc_id", "text", once(F.concat("tags", inline_spans(F.col("text"), F.col("tags")))).alias("tagged"))
 
 
-def laid_out(docs: DataFrame, opts: ProcessorOptions) -> DataFrame:
-    """(doc_id, stage, n, ref, text, start, end): all spans of documents (doc_id, text)."""
+def laid_out(docs: DataFrame, opts: ProcessorOptions, every: bool = False) -> DataFrame:
+    """(doc_id, stage, n, ref, text, start, end): all spans of documents (doc_id, text);
+    with ``every``, also a row without span (n) for each stage in which a document has none."""
     tagged = _with_tagged(docs, opts.tag_format)
     untagged = untagged_spans(F.col("text")) if opts.scan_untagged else _none()
     stages = F.array(
@@ -136,20 +136,29 @@ def laid_out(docs: DataFrame, opts: ProcessorOptions) -> DataFrame:
         F.struct(F.lit(1).alias("stage"), contextual_spans(F.col("text"), F.col("tagged")).cast(SPANS).alias("spans")),
         F.struct(F.lit(2).alias("stage"), untagged.cast(SPANS).alias("spans")),
     )
-    rows = tagged.select("doc_id", F.explode(stages).alias("s")).select("doc_id", "s.stage", F.posexplode("s.spans").alias("n", "x"))
+    rows = tagged.select("doc_id", F.explode(stages).alias("s")).select("doc_id", "s.stage", (F.posexplode_outer if every else F.posexplode)("s.spans").alias("n", "x"))
     return rows.select("doc_id", "stage", "n", "x.ref", "x.text", "x.start", "x.end")
 
 
+def _parsed(spans: DataFrame) -> DataFrame:
+    """``spans``, written, with their parsed reference p."""
+    return materialize_packed(spans.withColumn("p", once(T.parse_reference(F.col("ref")))))
+
+
 def analyzed(spans: DataFrame, corpus: DataFrame) -> DataFrame:
     """``spans`` with is_valid, corrected, reference, confidence and was_corrected."""
-    parsed = materialize_packed(spans.withColumn("p", once(T.parse_reference(F.col("ref")))))
+    return _analyzed(_parsed(spans), corpus)
+
+
+def _analyzed(parsed: DataFrame, corpus: DataFrame, with_corrected: bool = True) -> DataFrame:
+    """As ``analyzed``, of parsed spans; without ``with_corrected``, corrected is null."""
     ranged = F.coalesce(F.col("p.is_range") & (F.col("p.end_ayah") != 0), F.lit(False))
-    keep = spans.columns
-    single = match.validate(parsed.where(~ranged).select(*keep), corpus, ValidatorOptions(), with_differences=False)
+    keep = [c for c in parsed.columns if c != "p"]
+    single = match.validate(parsed.where(~ranged).select(*keep), corpus, ValidatorOptions(), with_differences=False, with_suggestions=False, with_text=with_corrected)
     moved = F.col("is_valid") & (F.col("match_type") != "exact")
     wrong = F.coalesce(F.col("ref") != F.col("reference"), F.lit(False))
     singles = single.select(
-        *keep, (F.col("is_valid") & ~wrong).alias("is_valid"), F.when(moved, F.col("verse_text")).otherwise(F.col("text")).alias("corrected"),
+        *keep, (F.col("is_valid") & ~wrong).alias("is_valid"), (F.when(moved, F.col("verse_text")).otherwise(F.col("text")) if with_corrected else F.lit(None).cast("string")).alias("corrected"),
         F.coalesce("reference", "ref").alias("reference"), "confidence", moved.alias("was_corrected"),
     )
     wanted = parsed.where(ranged).select(*keep, F.col("p.surah").alias("surah"), F.col("p.start_ayah").alias("start_ayah"), F.col("p.end_ayah").alias("end_ayah"))
@@ -160,7 +169,7 @@ def analyzed(spans: DataFrame, corpus: DataFrame) -> DataFrame:
     close = met.withColumn("sim", once(F.when(exact, 1.0).when(a == b, 0.95).otherwise(T.similarity(a, b)))).withColumn("same", once(a == b))
     valid = there & (exact | F.col("same") | (F.col("sim") >= RANGE_SIMILARITY))
     ranges = close.select(
-        *keep, valid.alias("is_valid"), F.when(valid & ~exact, F.col("range_text")).otherwise(F.col("text")).alias("corrected"),
+        *keep, valid.alias("is_valid"), (F.when(valid & ~exact, F.col("range_text")).otherwise(F.col("text")) if with_corrected else F.lit(None).cast("string")).alias("corrected"),
         F.col("ref").alias("reference"), F.when(there, F.col("sim")).otherwise(0.0).alias("confidence"), (valid & ~exact).alias("was_corrected"),
     )
     return singles.unionByName(ranges)
@@ -183,6 +192,31 @@ def process(docs: DataFrame, corpus: DataFrame, opts: ProcessorOptions = Process
     document without quotes is valid; a null text stays null with no quotes.
     """
     rows = analyzed(laid_out(docs.select("doc_id", "text").where(F.col("text").isNotNull()), opts), corpus)
+    final = _accepted(rows, opts)
+    joined = docs.select("doc_id", "text").join(final, "doc_id", "left")
+    shape = final.schema["q"].dataType
+    held = joined.withColumn("q", F.coalesce("q", F.array().cast(shape)))
+
+    def replaced(acc: Column, x: Column) -> Column:
+        old = F.when(x["stage"] == 0, F.substring(F.col("text"), x["start_index"] + 1, x["end_index"] - x["start_index"])).otherwise(x["original"])
+        new = F.when(x["stage"] == 0, T.tagged(opts.tag_format, x["reference"], x["corrected"])).otherwise(x["corrected"])
+        return T.replace_first(acc, old, new)
+
+    fixed = F.aggregate(F.filter("q", lambda x: x["was_corrected"]), F.col("text"), replaced) if opts.auto_correct else F.col("text")
+    shown = F.transform("q", lambda x: x.dropFields("stage", "n"))
+    return held.select("doc_id", fixed.alias("corrected_text"), _all_valid(), shown.alias("quotes"), _warnings().alias("warnings"))
+
+
+def _all_valid() -> Column:
+    return F.forall("q", lambda x: x["is_valid"] & ~x["was_corrected"]).alias("all_valid")
+
+
+def _warnings() -> Column:
+    return F.transform(F.filter("q", lambda x: x["stage"] == 2), _warning)
+
+
+def _accepted(rows: DataFrame, opts: ProcessorOptions) -> DataFrame:
+    """(doc_id, q): the quotes of each document that are kept, in order."""
     quote = F.struct(
         "stage", "n", F.col("text").alias("original"), "corrected", "is_valid", "reference", "confidence",
         F.element_at(F.array(F.lit("tagged"), F.lit("contextual"), F.lit("fuzzy")), F.col("stage") + 1).alias("detection_method"),
@@ -197,22 +231,7 @@ def process(docs: DataFrame, corpus: DataFrame, opts: ProcessorOptions = Process
     def shadowed(x: Column) -> Column:
         return F.exists("early", lambda r: (x["start_index"] >= r["start_index"]) & (x["start_index"] < r["end_index"]) | (x["end_index"] > r["start_index"]) & (x["end_index"] <= r["end_index"]))
 
-    final = first.select("doc_id", once(F.filter("q", lambda x: (x["stage"] < 2) | ~shadowed(x))).alias("q"))
-    joined = docs.select("doc_id", "text").join(final, "doc_id", "left")
-    shape = final.schema["q"].dataType
-    held = joined.withColumn("q", F.coalesce("q", F.array().cast(shape)))
-
-    def replaced(acc: Column, x: Column) -> Column:
-        old = F.when(x["stage"] == 0, F.substring(F.col("text"), x["start_index"] + 1, x["end_index"] - x["start_index"])).otherwise(x["original"])
-        new = F.when(x["stage"] == 0, T.tagged(opts.tag_format, x["reference"], x["corrected"])).otherwise(x["corrected"])
-        return T.replace_first(acc, old, new)
-
-    fixed = F.aggregate(F.filter("q", lambda x: x["was_corrected"]), F.col("text"), replaced) if opts.auto_correct else F.col("text")
-    shown = F.transform("q", lambda x: x.dropFields("stage", "n"))
-    return held.select(
-        "doc_id", fixed.alias("corrected_text"), F.forall("q", lambda x: x["is_valid"] & ~x["was_corrected"]).alias("all_valid"), shown.alias("quotes"),
-        F.transform(F.filter("q", lambda x: x["stage"] == 2), _warning).alias("warnings"),
-    )
+    return first.select("doc_id", once(F.filter("q", lambda x: (x["stage"] < 2) | ~shadowed(x))).alias("q"))
 
 
 def range_quotes(docs: DataFrame, corpus: DataFrame, fmt: str = "xml") -> DataFrame:
@@ -232,16 +251,26 @@ def range_quotes(docs: DataFrame, corpus: DataFrame, fmt: str = "xml") -> DataFr
 
 
 def quick_validate(docs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(doc_id, has_quran_content, all_valid, issues) without correcting anything."""
-    done = process(docs, corpus, ProcessorOptions(auto_correct=False))
+    """(doc_id, has_quran_content, all_valid, issues) without correcting anything.
+
+    Documents are read once: their ids come from their spans or the lack of them.  Of a
+    quote only what its issue shows goes on after the cascade.
+    """
+    opts = ProcessorOptions(auto_correct=False)
+    parsed = _parsed(laid_out(docs.select("doc_id", "text"), opts, every=True))
+    ids = parsed.where((F.col("stage") == 0) & (F.coalesce("n", F.lit(0)) == 0)).select("doc_id")
+    rows = _analyzed(parsed.where(F.col("n").isNotNull()), corpus, with_corrected=False)
+    # Fixed value: characters of a quote that a warning shows; an issue shows fewer.
+    final = _accepted(rows.withColumn("text", F.substring("text", 1, 50)), opts)
+    held = ids.join(final, "doc_id", "left").withColumn("q", F.coalesce("q", F.array().cast(final.schema["q"].dataType)))
 
     def issue(x: Column) -> Column:
         # Fixed value: the wording of an issue.
         hint = F.when(F.coalesce(x["reference"], F.lit("")) != "", F.concat(F.lit(" (should be "), x["reference"], F.lit(")"))).otherwise("")
         return F.concat(F.lit('Quote "'), F.substring(x["original"], 1, 30), F.lit('..." is '), F.when(x["is_valid"], "imprecise").otherwise("invalid"), hint)
 
-    bad = F.transform(F.filter("quotes", lambda x: ~x["is_valid"] | x["was_corrected"]), issue)
-    return done.select("doc_id", (F.size("quotes") > 0).alias("has_quran_content"), "all_valid", F.concat(bad, "warnings").alias("issues"))
+    bad = F.transform(F.filter("q", lambda x: ~x["is_valid"] | x["was_corrected"]), issue)
+    return held.select("doc_id", (F.size("q") > 0).alias("has_quran_content"), _all_valid(), F.concat(bad, _warnings()).alias("issues"))
 
 
 def validate_quotes(quotes: DataFrame, corpus: DataFrame, distinct: bool = False) -> DataFrame:

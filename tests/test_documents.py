@@ -91,3 +91,29 @@ def test_ranges_are_resolved_without_the_other_quotes(spark, corpus, monkeypatch
     got = [(r.doc_id, *(r[n] for n in names)) for r in Q.range_quotes(df, corpus).collect()]
     assert sorted(got) == sorted(want) and len(got) > 3
     assert asked and all("-" in ref for ref in asked)
+
+
+def test_short_verdicts_read_documents_once(spark, corpus, monkeypatch):
+    docs = [*documents(), None]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    done = {r.doc_id: r for r in Q.process(df, corpus, ProcessorOptions(auto_correct=False)).collect()}
+    read, asked, validate = spark.sparkContext.accumulator(0), [], Q.match.validate
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    def seen(quotes, corpus, *more, **named):
+        asked.append(named)
+        return validate(quotes, corpus, *more, **named)
+
+    monkeypatch.setattr(Q.match, "validate", seen)
+    got = Q.quick_validate(df.mapInArrow(counted, df.schema), corpus).collect()
+    assert read.value == len(docs) == len(got)
+    assert [(x["with_suggestions"], x["with_text"]) for x in asked] == [(False, False)]
+    for r in got:
+        x = done[r.doc_id]
+        assert (r.has_quran_content, r.all_valid) == (len(x.quotes) > 0, x.all_valid)
+        assert len(r.issues) == sum(not q.is_valid or q.was_corrected for q in x.quotes) + len(x.warnings)
+        assert r.issues[len(r.issues) - len(x.warnings) :] == x.warnings
