@@ -144,6 +144,26 @@ def test_search_in_small_tables_of_characters(spark, monkeypatch):
     assert {(r.qid, r.id) for r in lookup.search(asked, corpus_of(spark, rows), 100).collect()} == want
 
 
+def test_search_compares_in_the_jvm_as_stated(spark, monkeypatch):
+    r = random.Random(23)
+    scripts = ("ابت ", "abṣ ", "ا😀بab")
+    some = lambda: spec.norm("".join(r.choices(r.choice(scripts), k=r.choice([1, 5, 20, 63, 64, 65, 90, 127, 128, 129, 200]))))
+    texts = [*(some() for _ in range(36)), "", *[spec.norm("ابت " * 12)] * 2]
+    rows = [(k, 1, k, t) for k, t in enumerate(texts, 1)]
+    asked = [*(some() for _ in range(14)), *("".join(r.choice("ابت") if r.random() < 0.2 else c for c in t) for t in texts[:12]), "", texts[-1]]
+    frame = spark.createDataFrame(list(enumerate(asked)), "qid int, query string")
+    monkeypatch.setattr(lookup, "QUERIES", 9)
+    monkeypatch.setattr(lookup, "TEXTS", 14)
+    for limit, floor in ((3, 0.3), (100, 0.0)):
+        got = lookup.search(frame, corpus_of(spark, rows), limit, floor)
+        assert "python" not in (plan := got._jdf.queryExecution().toString().lower()) and "arrow" not in plan
+        want = []
+        for k, q in enumerate(asked):
+            ranked = sorted((-spec.sim(spec.norm(q), t), i) for i, _, _, t in rows)
+            want += [(k, n, i, -s) for n, (s, i) in enumerate([x for x in ranked if -x[0] > floor][:limit], 1)]
+        assert sorted((x.qid, x["rank"], x.id, x.similarity) for x in got.collect()) == want
+
+
 def test_ranges_and_lookups(spark):
     rows = verses()
     corpus = corpus_of(spark, rows)
